@@ -265,8 +265,8 @@ def author_clusters(cases: DataFrame, author: str = "source_author", book: str =
     """
     seen = cases.select(F.col(author).alias("spelling"), F.col(book).alias("book")).where("spelling is not null")
     counts = seen.groupBy("spelling").agg(F.count("*").alias("n"))
-    spread = counts.repartition("spelling") if counts.rdd.getNumPartitions() > 1 else counts
-    readings = written(spread.mapInPandas(_parse, PARSED), "name-readings")
+    tasks = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    readings = written(counts.repartition(tasks, "spelling").mapInPandas(_parse, PARSED), "name-readings")
     # A node is the set of spellings with the same readings.
     per = readings.groupBy("spelling").agg(
         F.first("n").alias("n"),
