@@ -123,8 +123,8 @@ r AS (SELECT f.id, f.text_key, length(text) AS n_chars, len(w) AS n_words, len(l
       CASE WHEN len(w) > 0 THEN coalesce(b.n, 0) / len(w) ELSE 0.0 END AS common_share,
       CASE WHEN len(w) > 0 THEN kinds / len(w) ELSE 0.0 END AS distinct_ratio
       FROM f LEFT JOIN b ON b.id = f.id AND b.text_key = f.text_key LEFT JOIN g ON g.id = f.id AND g.text_key = f.text_key)
-SELECT p.id, p.text_key, n_chars, n_words, n_lines, round(mean_word_len, 5) AS mean_word_len, round(symbol_ratio, 5) AS symbol_ratio,
-       round(line_end_share, 5) AS line_end_share, round(common_share, 5) AS common_share, round(distinct_ratio, 5) AS distinct_ratio
+SELECT p.id, p.text_key, n_chars, n_words, n_lines, round(round(mean_word_len, 6), 5) AS mean_word_len, round(round(symbol_ratio, 6), 5) AS symbol_ratio,
+       round(round(line_end_share, 6), 5) AS line_end_share, round(round(common_share, 6), 5) AS common_share, round(round(distinct_ratio, 6), 5) AS distinct_ratio
 FROM p LEFT JOIN r ON r.id = p.id AND r.text_key = p.text_key
 """
 
