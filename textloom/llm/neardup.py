@@ -51,7 +51,7 @@ class Settings:
     weighted: float = 0.0  # least weighted Jaccard similarity
     bands: int = 20
     rows: int = 3
-    df_slots: int = 1 << 20
+    df_slots: int = 1 << 18
 
 
 #: Passages, as p3_found defines them; a pair at 0.7 is missed with probability (1 - 0.65^3)^24 < 0.1 %.
