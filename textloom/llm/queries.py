@@ -48,7 +48,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p4_statistics(s: SparkSession, d: str) -> DataFrame:
     stats = natural.text_statistics(table(s, d, "passages"), table(s, d, "common_words"))
-    round_ = [F.round(c, 5).alias(c) for c in ("mean_word_len", "symbol_ratio", "line_end_share", "common_share", "distinct_ratio")]
+    round_ = [F.floor(F.col(c) * 1000 + 1e-6).cast("bigint").alias(f"{c}_milli") for c in ("mean_word_len", "symbol_ratio", "line_end_share", "common_share", "distinct_ratio")]
     return stats.select("id", "text_key", *natural.COUNTS, *round_)
 
 
@@ -123,8 +123,8 @@ r AS (SELECT f.id, f.text_key, length(text) AS n_chars, len(w) AS n_words, len(l
       CASE WHEN len(w) > 0 THEN coalesce(b.n, 0) / len(w) ELSE 0.0 END AS common_share,
       CASE WHEN len(w) > 0 THEN kinds / len(w) ELSE 0.0 END AS distinct_ratio
       FROM f LEFT JOIN b ON b.id = f.id AND b.text_key = f.text_key LEFT JOIN g ON g.id = f.id AND g.text_key = f.text_key)
-SELECT p.id, p.text_key, n_chars, n_words, n_lines, round(round(mean_word_len, 6), 5) AS mean_word_len, round(round(symbol_ratio, 6), 5) AS symbol_ratio,
-       round(round(line_end_share, 6), 5) AS line_end_share, round(round(common_share, 6), 5) AS common_share, round(round(distinct_ratio, 6), 5) AS distinct_ratio
+SELECT p.id, p.text_key, n_chars, n_words, n_lines, CAST(floor(round(mean_word_len, 6) * 1000 + 1e-6) AS BIGINT) AS mean_word_len_milli, CAST(floor(round(symbol_ratio, 6) * 1000 + 1e-6) AS BIGINT) AS symbol_ratio_milli,
+       CAST(floor(round(line_end_share, 6) * 1000 + 1e-6) AS BIGINT) AS line_end_share_milli, CAST(floor(round(common_share, 6) * 1000 + 1e-6) AS BIGINT) AS common_share_milli, CAST(floor(round(distinct_ratio, 6) * 1000 + 1e-6) AS BIGINT) AS distinct_ratio_milli
 FROM p LEFT JOIN r ON r.id = p.id AND r.text_key = p.text_key
 """
 
