@@ -26,6 +26,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__pid", *group, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["__pid", *group]]
+    # With no group the offsets are one row per partition.
     cond = same[0]
     for c in same[1:]:
         cond = cond & c

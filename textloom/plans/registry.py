@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("text_queries", "manifest_queries")
 
 
 def query(sql: str | None = None):
