@@ -32,11 +32,15 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once per row, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """The array of n consecutive words joined by blanks; empty if there are fewer."""
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    )
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+    return bound(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(grams(w)))
 
 
 def strip_boilerplate(text: Column) -> Column:
