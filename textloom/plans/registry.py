@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("text_queries", "manifest_queries", "dedup_queries", "mix_queries", "case_queries", "run_queries")
+_MODULES = ("text_queries", "manifest_queries", "dedup_queries", "mix_queries", "case_queries", "run_queries", "source_queries")
 
 
 def query(sql: str | None = None):
