@@ -6,6 +6,8 @@ shingle joins run over the classes, and the ids join at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,11 +49,6 @@ def _mul_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total >= np.uint64(PRIME), total - np.uint64(PRIME), total)
 
 
-def minhash(sh: Column | str) -> Column:
-    """The signature of a set of hashes (see :func:`minhash_values`)."""
-    return F.pandas_udf(minhash_values, "array<bigint>")(sh)
-
-
 def minhash_values(sets: pd.Series) -> pd.Series:
     """min over the set of (a h + b) mod (2^61 - 1) for each permutation; the prime where the set is empty."""
     a, b = _coefficients()
@@ -68,7 +65,13 @@ def minhash_values(sets: pd.Series) -> pd.Series:
 
 def signatures(sets: DataFrame) -> DataFrame:
     """``(id, n, n_sample, sig)``."""
-    return sets.select("id", F.size("sh").alias("n"), sampled(F.col("sh")).alias("s")).select("id", "n", F.size("s").alias("n_sample"), minhash("s").alias("sig"))
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "n": b["n"], "n_sample": b["s"].map(len).astype("int32"), "sig": minhash_values(b["s"])})
+
+    return sets.select("id", F.size("sh").alias("n"), sampled(F.col("sh")).alias("s")).mapInPandas(run, f"id {kind}, n int, n_sample int, sig array<bigint>")
 
 
 def _pairs(a: DataFrame, on: list[str]) -> DataFrame:

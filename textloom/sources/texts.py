@@ -27,7 +27,7 @@ def result_rows(lines: DataFrame) -> DataFrame:
 
     Rows need seven cells between the bars and a number in the first; ruler and head are passed over.
     """
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     t = lines.select(cells.alias("c")).where((F.size("c") == 7) & F.get("c", F.lit(0)).rlike(r"^\d+$"))
     number = lambda i: F.regexp_extract(F.get("c", F.lit(i)), r"(\d+)", 1).cast("int")
     names = ["description", "evidence", "date", "log", "by"]
