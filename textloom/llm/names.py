@@ -78,8 +78,8 @@ NICKNAMES = {
 TYPO, INITIAL, NICK, DROPPED, NO_TAG = -6.0, -2.0, -3.0, -2.0, -4.0
 #: Log-odds that two spellings seen in one book mean one person.
 SAME_BOOK = 6.0
-#: The least log-posterior of an attachment over the spelling being an author of its own.
-LEAST_GAIN = -1.0
+#: The least log-posterior, over the log-frequency of the spelling itself, of an attachment across two spellings of a surname or body.
+LEAST_GAIN = -5.0
 
 _DATES = re.compile(r"[,\s]*\(?\b(?:b\.|d\.|c\.|fl\.)?\s*\d{3,4}\??\s*(?:-\s*(?:\d{3,4}\??)?)?\)?\s*$")
 _TAG = re.compile(r"[,\s]*\(?the\s+(elder|younger)\)?\s*$")
@@ -250,9 +250,9 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                     s = channel((x["kind"], x["tag"], x["surname"], list(x["given"])), (y["kind"], y["tag"], y["surname"], list(y["given"])))
                     if s is not None and (best is None or s > best[0]):
-                        best = (s, x["surname"] != y["surname"])
+                        best = (s, x["surname"] != y["surname"] or (x["kind"] == "b" and s <= TYPO))
             if best is not None:
-                rows.append((v, c, best[0] + math.log(nc), best[1] or best[0] <= TYPO))
+                rows.append((v, c, best[0] + math.log(nc), best[1]))
         yield pd.DataFrame(rows, columns=["v", "c", "score", "typo"])
 
 
@@ -296,7 +296,7 @@ def author_clusters(cases: DataFrame, author: str = "source_author", book: str =
         scored.join(shared, ["v", "c"], "left")
         .join(own, "v")
         .withColumn("post", F.col("score") + F.when(F.col("same_book"), SAME_BOOK).otherwise(0.0))
-        .where((~F.col("typo")) | (F.col("post") - F.log("nv") >= LEAST_GAIN - 4.0))
+        .where((~F.col("typo")) | (F.col("post") - F.log("nv") >= LEAST_GAIN))
         .withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("post"), "c")))
     )
     links = ranked.where("r = 1").select(F.col("v").alias("src"), F.col("c").alias("dst"))
