@@ -57,6 +57,23 @@ def test_pairs_equal_brute_force(spark):
     assert D.near_duplicate_groups(df.limit(0), "id", "text").count() == 0
 
 
+def test_large_family_of_close_copies_is_whole(spark):
+    # All texts are copies of one: what they share weighs ln 2, each edit ln(1 + N), and a pair at 0.7 is at about 0.27 by weight.
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(157)]
+    texts = {}
+    for i in range(80):
+        w = list(base)
+        for k in range(4 + i % 2):
+            w[rng.randrange(157)] = f"own{i}x{k}"
+        texts[f"{i:02}"] = w
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "id string, text string")
+    ids = sorted(texts)
+    want = {(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b], 3) >= 0.7}
+    got = {(r["id_a"], r["id_b"]) for r in D.near_duplicate_pairs(df, "id", "text", D.PASSAGES).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_titles(spark):
     t = spark.createDataFrame([(1, "The Lantern of Ombersley"), (2, "THE LANTERN, OF OMBERSLEY"), (3, "Lantern of Ombersley, The"), (4, "A Net for Sheaves"), (5, None), (6, "?")], "source_id bigint, source_title string")
     got = {(r["id_a"], r["id_b"]) for r in D.near_duplicate_pairs(t, "source_id", "source_title", D.TITLES).collect()}

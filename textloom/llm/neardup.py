@@ -51,13 +51,16 @@ class Settings:
     weighted: float = 0.0  # least weighted Jaccard similarity
     bands: int = 20
     rows: int = 3
+    #: Bands drawn without weights: a pair at ``jaccard`` is missed with at most (1 - jaccard^rows)^plain_bands, here 0.512: < 0.0001 %.
+    plain_bands: int = 20
     df_slots: int = 1 << 18
 
 
-#: Passages, as p3_found defines them; a pair at 0.7 is missed with probability (1 - 0.65^3)^24 < 0.1 %.
-PASSAGES = Settings(unit="word", size=3, jaccard=0.7, weighted=0.3, bands=24, rows=3)
-#: Titles. Weights vary more in short texts: samples are many, and a pair at weighted 0.45 is missed with (1 - 0.45^4)^120 < 1 %.
-TITLES = Settings(unit="char", size=3, jaccard=0.6, weighted=0.2, bands=120, rows=4, df_slots=1 << 16)
+#: Passages, as p3_found defines them, by the sets alone: a pair at 0.7 is missed with at most (1 - 0.7^3)^24 < 0.005 % whatever its
+#: weighted similarity; the weighted bands alone would miss one of weighted similarity w with (1 - w^3)^24, half of them at w = 0.3.
+PASSAGES = Settings(unit="word", size=3, jaccard=0.7, bands=24, rows=3, plain_bands=24)
+#: Titles: a pair at 0.6 is missed with at most (1 - 0.6^4)^120 < 0.00001 %, by the weighted bands alone with (1 - w^4)^120.
+TITLES = Settings(unit="char", size=3, jaccard=0.6, bands=120, rows=4, plain_bands=120, df_slots=1 << 16)
 
 FEATURES = "id string, key string, n int, sh array<bigint>, tf array<int>"
 
@@ -130,18 +133,18 @@ def _draws(seed: int = 1930) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(x.astype(np.float32) for x in (rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n)), rng.random(n)))
 
 
-def band_keys(sh: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(sh: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
     """Band keys, one row a text, of texts whose shingles lie in a row from ``starts`` on.
 
     A sample of a text is the shingle k with the least
     ln a_k = ln c_k - r_k * (t_k - beta_k + 1), t_k = floor(ln w_k / r_k + beta_k),
-    together with t_k.
+    together with t_k. ``first`` numbers the first band; other numbers draw other samples.
     """
     gamma_r, log_c, beta = _draws()
     u = sh.view(np.uint64)
     lengths = np.diff(np.r_[starts, len(sh)])
     out = np.empty((len(starts), bands), np.int64)
-    for band in range(bands):
+    for band in range(first, first + bands):
         key = np.full(len(starts), band + 1, np.uint64)
         for row in range(rows):
             k = band * rows + row
@@ -156,7 +159,7 @@ def band_keys(sh: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, bands:
             doc = np.searchsorted(starts, hit, side="right") - 1
             hit = hit[np.r_[True, doc[1:] != doc[:-1]]]
             key = mix(key * np.uint64(0x100000001B3) + mix(u[hit] + t[hit].astype(np.int64).view(np.uint64)))
-        out[:, band] = key.view(np.int64)
+        out[:, band - first] = key.view(np.int64)
     return out
 
 
@@ -195,7 +198,8 @@ def similar_classes(reps: DataFrame, s: Settings) -> DataFrame:
                 w = _weights(sh, np.concatenate(sub["tf"].values), sent.value, total, s.df_slots)
                 starts = np.r_[0, np.cumsum(sub["n"].values)[:-1]].astype(np.intp)
                 keys = band_keys(sh, np.log(w).astype(np.float32), starts, s.bands, s.rows)
-                yield pd.DataFrame({"key": sub["key"].values, "n": sub["n"].values, "bands": list(keys)})
+                plain = band_keys(sh, np.zeros(len(sh), np.float32), starts, s.plain_bands, s.rows, s.bands)
+                yield pd.DataFrame({"key": sub["key"].values, "n": sub["n"].values, "bands": list(np.hstack([keys, plain]))})
 
     signed = written(reps.select("key", "n", "sh", "tf").mapInPandas(sign, "key string, n int, bands array<bigint>"), "dup-bands")
     keyed = signed.select("key", "n", F.explode("bands").alias("band"))
