@@ -59,6 +59,25 @@ def test_verdicts(spark):
     assert T.unnatural_passages(df.limit(0), cw).count() == 0 == T.unnatural_passages(df, cw.limit(0)).where("id = 'zzz'").count()
 
 
+def test_junk_does_not_lower_its_own_score(spark):
+    cw = spark.createDataFrame([("en", w) for w in "the of and to in a was his with her".split()], "lang string, word string")
+    good = [(f"g{i}", f"The cat of number {i} was in the house and her dog ran to a tree with his bone. It was late.") for i in range(30)]
+    index = "\n".join(f"Name{i}, thing of, {i}, 7-9" for i in range(20))
+    plain = ("plain", "No cat here, number 5, but a small house; her dog ran to some tree. Cats sit down.")
+    copies = [(f"c{i}", index) for i in range(300)]
+    other = [(f"o{i}", index + f"\nOther{i}, more of, {i}, 1-2") for i in range(300)]
+    score = {}
+    for name, rows in (("one", [*good, plain, copies[0]]), ("copies", [*good, plain, *copies]), ("kinds", [*good, plain, copies[0], *other])):
+        v = {r["id"]: r for r in T.judged_passages(spark.createDataFrame(rows, "id string, text string"), cw).collect()}
+        assert {i for i, r in v.items() if not r["is_natural"]} == {i for i, _ in rows if i[0] in "co"}
+        score[name] = v["c0"]["score"]
+    assert score["one"] == score["copies"] == score["kinds"]
+    # The score decides: few function words alone don't make junk.
+    few = [("few", "Cats ran home. Dogs sat down in number 5 trees, it says here, late on that cold day. It went well, we all said.")]
+    v = {r["id"]: r for r in T.judged_passages(spark.createDataFrame([*good, *few], "id string, text string"), cw, least_score=1000.0, least_tails=1000.0).collect()}
+    assert v["few"]["varied_common_share"] < 0.04 and v["few"]["is_natural"]
+
+
 def test_pack_is_sound_and_tight():
     rng = random.Random(4)
     sizes = sorted((int(rng.lognormvariate(4, 1)) % 512 + 1 for _ in range(4000)), reverse=True)

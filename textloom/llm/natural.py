@@ -1,7 +1,8 @@
 """Text quality statistics and outlier scores from exact per-language ranks.
 
-Statistics of a text are compared with those of its language only: the values
-of each (language, statistic) are counted, range-partitioned and sorted, the
+Statistics of a text are compared with those of its language only, and among
+different texts that pass the exact check below, so that neither copies nor
+junk of any share lower the scores of junk. The values of each (language, statistic) are counted, range-partitioned and sorted, the
 partitions' totals are summed into offsets, and the exact number of smaller
 and of equal values gives the two empirical tail probabilities of each value.
 A text's outlier score is the sum of -ln(tail) over the statistics, each tail
@@ -12,7 +13,8 @@ share is one row. Nothing but partition totals, of a size that the number of
 partitions bounds, is gathered.
 
 The verdict: a text is not natural if its score is not below ``least_score``
-and an exact check of its words agrees: next to no function words of any kind
+(``least_tails`` statistics at the very end of their ranks, where a language
+has too few texts for that score) and an exact check of its words agrees: next to no function words of any kind
 but one (an index or catalogue repeats one, natural text needs many).
 
 Defined results: null and blank texts have null statistics and no verdict;
@@ -109,7 +111,16 @@ def tail_probabilities(values: DataFrame, per_task: int = 200_000) -> DataFrame:
 
     ``values``: lang, stat, value; a row per observation.
     """
-    counted = written(values.groupBy("lang", "stat", "value").agg(F.count("*").alias("n")), "rank-counts")
+    n = F.col("total")
+    return rank_counts(values.withColumn("w", F.lit(1)), per_task).select("lang", "stat", "value", (F.col("le") / n).alias("lower"), (F.col("ge") / n).alias("upper"))
+
+
+def rank_counts(values: DataFrame, per_task: int = 200_000) -> DataFrame:
+    """``(lang, stat, value, le, ge, total)``: exact weights of values <= and >= each value, and of all.
+
+    ``values``: lang, stat, value, w; a row per observation, 0 weights are ranked and not counted.
+    """
+    counted = written(values.groupBy("lang", "stat", "value").agg(F.sum("w").alias("n")), "rank-counts")
     parts = max(1, -(-counted.count() // per_task))
     ranged = written(counted.repartitionByRange(parts, "lang", "stat", "value").withColumn("pid", F.spark_partition_id()), "rank-ranges")
     totals = ranged.groupBy("pid", "lang", "stat").agg(F.sum("n").alias("t"))
@@ -124,35 +135,42 @@ def tail_probabilities(values: DataFrame, per_task: int = 200_000) -> DataFrame:
     inner = Window.partitionBy("pid", "lang", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranged.withColumn("run", F.sum("n").over(inner)).join(offsets, ["pid", "lang", "stat"])
     upto = F.col("before") + F.col("run")
-    return ranked.select("lang", "stat", "value", (upto / F.col("total")).alias("lower"), ((F.col("total") - upto + F.col("n")) / F.col("total")).alias("upper"))
+    return ranked.select("lang", "stat", "value", upto.alias("le"), (F.col("total") - upto + F.col("n")).alias("ge"), "total")
+
 
+def outlier_scores(stats: DataFrame, least_varied: float = 0.04) -> DataFrame:
+    """``(text_key, rank_lang, score, ranked)`` of each different text of the output of :func:`text_statistics`.
 
-def outlier_scores(stats: DataFrame) -> DataFrame:
-    """``(id, text_key, rank_lang, score)`` from the output of :func:`text_statistics`."""
-    have = stats.where("n_words is not null")
+    ``ranked``: the texts of the language with ``least_varied`` or more, among which, with itself, a text is ranked.
+    """
+    have = written(stats.where("n_words is not null").select("text_key", "lang", *SIDES).dropDuplicates(["text_key"]), "rank-texts")
     top = have.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select(F.col("lang").alias("top")).limit(1)
     placed = have.join(F.broadcast(top), F.lit(True), "left").withColumn(
         "rank_lang", F.when(F.col("lang").isNotNull() & (F.col("common_share") >= 0.05), F.col("lang")).otherwise(F.coalesce("top", F.lit("")))
     )
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in SIDES])).alias("p")
-    long = written(placed.select("id", "text_key", F.col("rank_lang").alias("lang"), pairs).select("id", "text_key", "lang", "p.stat", "p.value"), "rank-values")
-    tails = tail_probabilities(long.select("lang", "stat", "value"))
+    w = (F.col("varied_common_share") >= least_varied).cast("int").alias("w")
+    long = written(placed.select("text_key", F.col("rank_lang").alias("lang"), w, pairs).select("text_key", "lang", "w", "p.stat", "p.value"), "rank-values")
+    ranks = rank_counts(long.select("lang", "stat", "value", "w"))
+    own = 1 - F.col("w")
+    lower, upper = ((F.col(c) + own) / (F.col("total") + own) for c in ("le", "ge"))
     side = F.create_map(*[F.lit(x) for kv in SIDES.items() for x in kv])[F.col("stat")]
-    both = F.least(F.lit(1.0), 2 * F.least("lower", "upper"))
-    tail = F.when(side == "low", F.col("lower")).when(side == "high", F.col("upper")).otherwise(both)
+    both = F.least(F.lit(1.0), 2 * F.least(lower, upper))
+    tail = F.when(side == "low", lower).when(side == "high", upper).otherwise(both)
     return (
-        long.join(tails, ["lang", "stat", "value"])
-        .groupBy("id", "text_key", F.col("lang").alias("rank_lang"))
-        .agg(F.sum(-F.log(tail)).alias("score"))
+        long.join(ranks, ["lang", "stat", "value"])
+        .groupBy("text_key", F.col("lang").alias("rank_lang"))
+        .agg(F.sum(-F.log(tail)).alias("score"), F.max("total").alias("ranked"))
     )
 
 
-def judged_passages(passages: DataFrame, common_words: DataFrame, least_score: float = 3.0, least_varied: float = 0.04) -> DataFrame:
+def judged_passages(passages: DataFrame, common_words: DataFrame, least_score: float = 25.0, least_tails: float = 3.0, least_varied: float = 0.04) -> DataFrame:
     """The statistics with ``score`` (rounded) and ``is_natural`` (null for null and blank texts)."""
     stats = written(text_statistics(passages, common_words), "text-stats")
-    scored = stats.join(outlier_scores(stats), ["id", "text_key"], "left")
-    junk = (F.col("score") >= least_score) & (F.col("varied_common_share") < least_varied)
-    return scored.select(*stats.columns, F.round("score", 6).alias("score"), F.when(F.col("score").isNotNull(), ~junk).alias("is_natural"))
+    scored = stats.join(outlier_scores(stats, least_varied), "text_key", "left")
+    least = F.least(F.lit(least_score), least_tails * F.log(F.col("ranked") + F.lit(1.0)))
+    junk = (F.col("score") >= least) & (F.col("varied_common_share") < least_varied)
+    return scored.select(*[scored[c] for c in stats.columns], F.round("score", 6).alias("score"), F.when(F.col("score").isNotNull(), ~junk).alias("is_natural"))
 
 
 def unnatural_passages(passages: DataFrame, common_words: DataFrame) -> DataFrame:
