@@ -57,6 +57,33 @@ def test_sparse_boundary(spark):
     assert {(r["i"], r["j"]) for r in D.sparse_pairs(sig).collect()} == {(0, 1)}
 
 
+def test_candidates_hold_the_sparse_pairs(spark):
+    # Texts of 30 words have 26 shingles, of which the sample often takes none.
+    rng = random.Random(5)
+    rows = texts()
+    for i in range(200, 260, 2):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w[:-1], "changed"]))]
+    _, reps = D.set_classes(D.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    sig = D.signatures(reps)
+    sampled = {r["id"]: r["n_sample"] for r in sig.collect()}
+    got = {(r["i"], r["j"]): r["jaccard"] for r in D.candidates(sig, reps).collect()}
+    want = {(a, b) for a, b in brute(rows) if a in sampled and b in sampled}
+    assert any(max(sampled[a], sampled[b]) == 0 for a, b in want) and all(min(sampled[a], sampled[b]) < D.SPARSE for a, b in want)
+    assert set(got) == want and all(x >= D.JACCARD for x in got.values())
+
+
+def test_sparse_partners_count_the_sparse_pairs(spark):
+    rng = random.Random(6)
+    sig = spark.createDataFrame([(i, rng.randrange(20, 90), rng.choice([0, 7, 8, 9, 20])) for i in range(200)] + [(900, 5000, 0), (901, 6000, 80)], "id bigint, n int, n_sample int")
+    want = {r["id"]: [] for r in sig.collect()}
+    for r in D.sparse_pairs(sig).collect():
+        want[r["i"]].append(r["j"])
+        want[r["j"]].append(r["i"])
+    got = {r["id"]: (r["partners"], r["first_partner"]) for r in D.sparse_partners(sig).collect()}
+    assert got == {i: (len(p), min(p, default=None)) for i, p in want.items()}
+
+
 def test_clean_beats_longer_and_dirty_stay(spark):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(1, base + " extra words at the end", False), (2, base, True), (3, " ".join(f"v{i}" for i in range(50)), False), (4, " ".join(f"v{i}" for i in range(50)), False)]

@@ -133,6 +133,44 @@ def sparse_pairs(sig: DataFrame, ratio: float = JACCARD) -> DataFrame:
     return left.join(right, "k").where((F.col("i") < F.col("j")) & (F.col("s1") | F.col("s2")) & (F.least("n1", "n2") >= F.lit(ratio) * F.greatest("n1", "n2"))).select("i", "j").distinct()
 
 
+def sparse_partners(sig: DataFrame, ratio: float = JACCARD) -> DataFrame:
+    """``(id, partners, first_partner)``: the pairs of :func:`sparse_pairs` counted by id, all ids kept.
+
+    A pair is decided by sizes and sparseness alone, so groups of equal
+    (n, sparse) are joined in place of the ids: their number is bounded by the
+    sizes that occur, and the pairs, a square of the ids, are never listed.
+    """
+    a = sig.select("id", F.col("n").cast("bigint").alias("n"), (F.col("n_sample") < SPARSE).alias("sparse"))
+    g = a.groupBy("n", "sparse").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    # The least id but one stands in where the least is the id itself.
+    second = a.join(g, ["n", "sparse"]).where(F.col("id") > F.col("low")).groupBy("n", "sparse").agg(F.min("id").alias("second"))
+    g = written(g.join(second, ["n", "sparse"], "left"), "sparse-groups")
+    x, y = g.select("n", F.col("sparse").alias("sparse"), "low"), g.select(F.col("n").alias("m"), F.col("sparse").alias("other"), F.col("c"), F.col("low").alias("l"), "second")
+    met = x.join(y, (F.least("n", "m") >= F.lit(ratio) * F.greatest("n", "m")) & (F.col("sparse") | F.col("other")))
+    own = (F.col("n") == F.col("m")) & (F.col("sparse") == F.col("other"))
+    found = met.groupBy("n", "sparse").agg(
+        (F.sum("c") - F.sum(own.cast("int"))).alias("partners"),
+        F.min(F.when(~own, F.col("l"))).alias("apart"),
+        F.min(F.when(own, F.col("l"))).alias("first"),
+        F.min(F.when(own, F.col("second"))).alias("second"),
+    )
+    same = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return a.join(found, ["n", "sparse"], "left").select("id", F.coalesce("partners", F.lit(0)).alias("partners"), F.least("apart", same).alias("first_partner"))
+
+
+def candidates(sig: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """``(i, j, jaccard)`` of the union of the three candidate sources, verified on the full sets.
+
+    The sparse source alone is a square of the sets. What verification leaves
+    of it are the similar pairs with a sparse side, since a similar pair is
+    within the size ratio too; the exact prefix join gives just these.
+    """
+    met = verify(lsh_candidates(sig).union(signature_prefilter(sig).select("i", "j")).distinct(), sets, jaccard)
+    side = lambda k: sig.select(F.col("id").alias(k), (F.col("n_sample") < SPARSE).alias(f"sparse_{k}"))
+    sparse = exact_pairs(sets, jaccard).join(side("i"), "i").join(side("j"), "j").where("sparse_i or sparse_j").select("i", "j", "jaccard")
+    return met.union(sparse).dropDuplicates(["i", "j"])
+
+
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, reps)``: ids with equal shingle sets form a class, named by its smallest id."""
     keyed = written(sets.withColumn("key", F.sha2(F.array_join("sh", ","), 256)), "dedup-sets")

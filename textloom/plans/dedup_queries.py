@@ -64,9 +64,15 @@ def signature_prefilter(s, d):
 
 @query()
 def dedup_candidates(s, d):
-    """Candidates of both indexes over class representatives, verified on the full sets."""
+    """Candidates of both indexes and of the sparse sizes over class representatives, verified on the full sets."""
     reps, sig = class_signatures(s, d)
-    return D.verify(D.lsh_candidates(sig).union(D.signature_prefilter(sig).select("i", "j")).distinct(), reps)
+    return D.candidates(sig, reps)
+
+
+@query()
+def sparse_signature_pairs(s, d):
+    """Classes within a size ratio of which one at least is sparse: partners are counted, not listed."""
+    return D.sparse_partners(class_signatures(s, d)[1])
 
 
 SPARSE_SQL = """
