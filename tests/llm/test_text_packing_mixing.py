@@ -38,6 +38,18 @@ def test_field_limits_and_copies(spark):
     assert rate["lim"] == round(6 / 7, 6)
 
 
+def test_limits_do_not_depend_on_the_size_of_the_source(spark):
+    ends = [(i, "big", 1000 + i % 4000, 1000 + i % 4000, i, "whole") for i in range(2000)]
+    ends += [(10_000 + i, "big", 500, 700 + i, 10_000 + i, "open") for i in range(12)]  # a limit in characters, 0.6 % of the rows
+    ends += [(20_000 + i, "copies", 300, 390, 20_000 + i % 4, "cut") for i in range(4)] + [(30_000 + i, "copies", 90, 90, 5, "whole") for i in range(3000)]
+    ends += [(40_000 + i, "bytes", 200 - i, 256 - i % 4, 40_000 + i, "cut") for i in range(4)]  # one text at each of four byte sizes
+    ends += [(50_000 + i, "verse", 100 + i // 4, 150 + i // 4, 50_000 + i, "open") for i in range(2000)]  # four at every size: no limit
+    ends += [(60_000 + i, "same", 77, 77, 60_000, "open") for i in range(9)]  # copies of one text
+    df = spark.createDataFrame(ends, U.ENDS)
+    got = {(r["source"], r["unit"], r["size"]): r["texts"] for r in U.source_limits(df).collect()}
+    assert got == {("big", "chars", 500): 12, ("copies", "chars", 300): 4, ("copies", "bytes", 390): 4, ("bytes", "bytes", 256): 4}
+
+
 def test_exact_tail_ranks(spark):
     rng = random.Random(1)
     v = [("en", "s", float(rng.randrange(20))) for _ in range(300)] + [("fr", "s", 3.0)] * 5

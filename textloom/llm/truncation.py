@@ -11,8 +11,8 @@ letter) it tells three ways to end:
   a stop, an ellipsis).
 
 The sources' baselines decide the open ones: a length, in characters or bytes,
-at which several different texts of a source end unterminated is a field limit
-of the source, and an open text of that length is cut. Copies of a cut text
+at which several different texts of a source end unterminated, and far more of
+them than at the neighbouring lengths, is a field limit of the source, and an open text of that length is cut. Copies of a cut text
 are cut.
 
 Defined results: null and blank texts are whole; a text without a source is
@@ -26,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.scratch import written
@@ -169,19 +169,42 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def source_limits(ends: DataFrame, least_texts: int = 3, least_share: float = 0.02) -> DataFrame:
-    """``(source, unit, size, texts)``: lengths at which different texts of a source stop unterminated."""
+def source_limits(ends: DataFrame, least_texts: int = 3, chance: float = 0.01, near: int = 50) -> DataFrame:
+    """``(source, unit, size, texts)``: lengths at which different texts of a source stop unterminated.
+
+    The different unterminated texts at a size are held against those expected
+    there, at most (an upper bound of the mean of the sizes up to ``near`` below
+    and above, since few texts lie there in small sources): by Chernoff's
+    bound for a Poisson count, so many must have a probability below ``chance``
+    over all sizes of the source. A byte limit leaves up to three bytes of a
+    broken character out, so four byte sizes are pooled; of pools that overlap
+    the fullest is the limit, the smallest among equals.
+    """
     texts = ends.where("source is not null and state <> 'whole'").select("source", "n_chars", "n_bytes", "text_key").distinct()
-    size = ends.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    by = lambda unit, col: texts.groupBy("source", F.lit(unit).alias("unit"), F.col(col).alias("size")).agg(F.count("*").alias("texts"))
-    return by("chars", "n_chars").union(by("bytes", "n_bytes")).join(size, "source").where((F.col("texts") >= least_texts) & (F.col("texts") >= least_share * F.col("n"))).select("source", "unit", "size", "texts")
+    by = lambda unit, col: texts.groupBy("source", F.lit(unit).alias("unit"), F.col(col).cast("bigint").alias("size")).agg(F.count("*").alias("own"))
+    w = Window.partitionBy("source", "unit").orderBy("size")
+    over = lambda low, high: F.coalesce(F.sum("own").over(w.rangeBetween(low, high)), F.lit(0))
+    spare = F.when(F.col("unit") == "bytes", 3).otherwise(0)
+    pooled = by("chars", "n_chars").union(by("bytes", "n_bytes")).select(
+        "*",
+        F.count("*").over(Window.partitionBy("source", "unit")).alias("sizes"),
+        F.when(spare > 0, over(-3, 0)).otherwise(F.col("own")).alias("texts"),
+        F.when(spare > 0, over(-3 - near, -4) + over(1, near)).otherwise(over(-near, -1) + over(1, near)).alias("around"),
+    )
+    # Sizes from 1 on: near the least there are fewer below.
+    width = F.least(F.lit(near), F.greatest(F.col("size") - spare - 1, F.lit(0))) + near
+    expected = (F.col("around") + 3 + 2 * F.sqrt("around")) * (1 + spare) / width
+    surprise = F.col("texts") * F.log(F.col("texts") / expected) - F.col("texts") + expected
+    found = pooled.where((F.col("texts") >= least_texts) & (F.col("texts") > expected) & (surprise >= F.log(F.col("sizes") / chance)))
+    best = F.max(F.struct("texts", (-F.col("size")).alias("less"))).over(w.rangeBetween(-3, 3))
+    return found.withColumn("best", best).where((F.col("unit") == "chars") | (F.col("best.less") == -F.col("size"))).select("source", "unit", "size", "texts")
 
 
-def truncations(documents: DataFrame, least_texts: int = 3, least_share: float = 0.02) -> DataFrame:
+def truncations(documents: DataFrame, least_texts: int = 3) -> DataFrame:
     """``(doc_id, source, n_chars, state, at_limit, is_cut)``, a row per document row."""
     rows = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key"))
     ends = written(rows.mapInPandas(_ends, ENDS), "cut-ends")
-    limits = written(source_limits(ends, least_texts, least_share), "cut-limits")
+    limits = written(source_limits(ends, least_texts), "cut-limits")
     chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("limit_chars")).distinct()
     # A byte limit leaves up to three bytes of a broken character out.
     spare = F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("limit_bytes")
