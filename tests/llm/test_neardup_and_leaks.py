@@ -118,3 +118,11 @@ def test_leaks_equal_brute_force_also_with_hot_seeds(spark):
         got = {(r["doc_id"], r["item_field"], r["item_id"]) for r in L.leaked_items(dd, ii, s).collect()}
         assert got == brute(docs, items, s.max_subs), s
     assert L.leaked_items(dd.limit(0), ii).count() == 0 == L.leaked_items(dd, ii.limit(0)).count()
+
+
+def test_an_id_with_a_copy_keeps_its_other_text(spark):
+    a, b = " ".join(prose(20)), " ".join(prose(20))
+    dd = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id bigint, text string")
+    ii = spark.createDataFrame([("text", "x", b), ("text", "y", a)], "item_field string, item_id string, text string")
+    got = {tuple(r) for r in L.leaked_items(dd, ii).collect()}
+    assert got == {(1, "text", "y"), (2, "text", "y"), (2, "text", "x")}

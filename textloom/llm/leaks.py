@@ -166,16 +166,16 @@ def owned(rows: DataFrame, id_col: str) -> DataFrame:
 def one_of_each(rows: DataFrame, ids: list[str], s: Settings) -> DataFrame:
     """``(owner, text)`` with copies left out, without moving the texts.
 
-    Only ids and text hashes are grouped; the ids of the copies are then taken
-    away, by a sent list if they are few.
+    Only ids and text hashes are grouped; the copies are then taken away by id
+    and text, since an id may have other texts, by a sent list if they are few.
     """
     key = F.concat_ws("\u0001", *ids)
     sha = F.sha2("text", 256)
     named = rows.select(key.alias("k"), "owner", sha.alias("sha"))
     twice = named.groupBy("owner", "sha").agg(F.min("k").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = written(named.join(twice, ["owner", "sha"]).where("k <> rep").select("k").distinct(), "leak-copies")
-    out = rows.withColumn("k", key)
-    return out.join(F.broadcast(copies) if copies.count() <= s.send_keys // 4 else copies, "k", "left_anti").select("owner", "text")
+    copies = written(named.join(twice, ["owner", "sha"]).where("k <> rep").select("k", "owner", "sha").distinct(), "leak-copies")
+    out = rows.withColumn("k", key).withColumn("sha", sha)
+    return out.join(F.broadcast(copies) if copies.count() <= s.send_keys // 8 else copies, ["k", "owner", "sha"], "left_anti").select("owner", "text")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
