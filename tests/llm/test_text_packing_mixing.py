@@ -38,6 +38,11 @@ def test_field_limits_and_copies(spark):
     assert rate["lim"] == round(6 / 7, 6)
 
 
+def test_a_quote_far_from_the_end_is_open():
+    far = "He went home and sat down again. " * 700
+    assert U.ending("“" + far + "He stood.") == "open" and U.ending(far + "He stood.") == "whole"
+
+
 def test_limits_do_not_depend_on_the_size_of_the_source(spark):
     ends = [(i, "big", 1000 + i % 4000, 1000 + i % 4000, i, "whole") for i in range(2000)]
     ends += [(10_000 + i, "big", 500, 700 + i, 10_000 + i, "open") for i in range(12)]  # a limit in characters, 0.6 % of the rows

@@ -134,7 +134,7 @@ def ending(text: str | None) -> str:
         return "open"
     if _DASH.search(t):
         return "whole"
-    opened = left_open(t[-20000:])
+    opened = left_open(t)
     if _STOP.search(t):
         # A stop set after the rest was lost leaves the last sentence's quote open.
         if "“" in opened and not re.search(r"”|[.!?…—]\s", t[t.rindex("“") :]):
