@@ -1,19 +1,26 @@
 """Texts cut off by field limits: a structural completeness check.
 
-A stack automaton reads each whole text and keeps what is open: quotes,
-brackets, markup. With the layout of the last lines (prose, verse, list, play,
-letter) it tells three ways to end:
+A stack automaton reads each whole text once and holds what is open: the
+sentence, quotes, brackets, markup, and a tag, escape or character that is not
+finished. Words open a sentence; a terminator or, where the text's own layout
+ends sentences by lines (verse, lists, plays, letters), the end of a line
+closes it; a closing mark takes back its opener; a paragraph opens its own
+quotes and brackets. What is left on the stack tells three ways to end:
 
-- ``whole``: as a writer ends (a full stop, a closing line, a signature, the
-  end of a list entry, a stage direction, ...);
-- ``cut``: within a word, sentence, entry, tag, escape or character;
-- ``open``: in a way that both writers and limits leave (a verse line without
-  a stop, an ellipsis).
+- ``whole``: nothing is open, or the text stops as a writer ends it (a closing
+  line, a signature, the end of an entry, a dash);
+- ``cut``: a sentence, an entry, a tag, an escape or a character is open, or a
+  terminator or closing mark follows a sentence that isn't complete;
+- ``open``: the last sentence has a terminator, but an open quote or bracket or
+  a mark of omission casts doubt on it; or a verse line has none.
 
-The sources' baselines decide the open ones: a length, in characters or bytes,
-at which several different texts of a source end unterminated, and far more of
-them than at the neighbouring lengths, is a field limit of the source, and an open text of that length is cut. Copies of a cut text
-are cut.
+The sources' baselines decide what the automaton can't: a length, in characters
+or bytes, at which several different texts of a source end unterminated, and
+far more of them than at the neighbouring lengths, is a field limit of the
+source, and an open text of that length is cut. A terminator behind an
+incomplete sentence is evidence of a cut only at a limit, or where the source
+has more of them at the ends of its texts than their share of the stops inside
+its texts explains: editing leaves them anywhere. Copies of a cut text are cut.
 
 Defined results: null and blank texts are whole; a text without a source is
 held against the limits of all sources; repeated rows get one verdict; empty
@@ -31,13 +38,12 @@ from pyspark.sql import functions as F
 
 from textloom.scratch import written
 
-# Words that no sentence ends with (English, French, German).
+# Articles, prepositions and conjunctions that no sentence ends with (English, French, German).
 NEVER_LAST = frozenset(
-    """the a an of and to that for with as at by but their which from they were would no when into who upon our every another each before after
-    beyond among until while because though than my what such any its if unless whereas since yet or nor your between toward towards against during
-    some these those his had i he she we whose whom having near beside through
-    un une le la les ce cette ces son sa ses des du et dans sous sur avec pour mais que qui au aux leur vers chaque
-    der die das ein eine einen einem diese dieser dieses jene jener jenes und mit auf dem den im am zu zur vom von ihre seine ihr sein""".split()
+    """a an the this these those my his our their its every some any no what which such another each of to from with at by into upon among toward between beneath
+    and or nor but that than if unless because while whereas since until although though when where who whose as before after within without over
+    un une le la les ce cette ces son sa ses du des de et ou mais que qui dans sur sous avec pour vers
+    ein eine einen einem der die das den dem des und oder aber mit auf von zu vom zum zur im am diese dieser dieses jene jener ihre seine""".split()
 )
 
 _WRONG = {"â€”": "—", "â€“": "–", "â€¦": "…", "â€œ": "“", "â€\x9d": "”", "â€™": "’", "â€˜": "‘", "â€": "”"}
@@ -47,41 +53,104 @@ _CLOSING = re.compile(r"(?:^|\n)[ \t>]*(?:THE END|FINIS|Finis|The End|END OF [A-
 _ENTRY = re.compile(r"(?:\d+[sd]\.?|(?:\s{2,}|\t|\.{2,} ?)\d+|\b\d+\s*(?:vols?\.?|pp?\.?))$", re.I)
 _ENTRY_TAIL = re.compile(r"[.…—]+$")
 _PLACE = re.compile(r"^[A-ZÀ-Ý][\w’' -]{1,40}, (?:\d{1,2}(?:st|nd|rd|th)? (?:of )?\w+,? )?\d{4}\.?$")
-_STOP = re.compile(r"[.!?][\"”’»)\]_*']*$")
-_TRAIL = re.compile(r"(?:\.\.\.|…)[\"”’»)\]]*$")
-_DASH = re.compile(r"(?:—|--|–)[\"”’»)]*$")
-_BROKEN = re.compile(r"(?:�|&[A-Za-z#]\w{0,7}|<[A-Za-z/!][^<>\n]{0,200}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?)$")
 _MARKS = re.compile(r"\s*(?:\[(?:\.{3}|…|more|continued|truncated|cut|text truncated|snip)\]|\((?:\.{3}|…|more|continued|truncated)\)|<(?:more|truncated)>|(?:read|see) more)\s*$", re.I)
-_LAST_WORD = re.compile(r"([^\W_]+)[^\w]*$")
-_PAIRS = {"“": "”", "(": ")", "[": "]", "«": "»"}
-_OPENERS = re.compile("[“”()\\[\\]«»\n]")
+_STOP = re.compile(r"[.!?][\"”’»)\]_*']*$")
+_QUOTED = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
 
+#: No mark or end of an entry is longer, so that these need not be looked for in the whole text.
+_TAIL = 64
+_PAIRS = {"“": "”", "„": "“", "(": ")", "[": "]", "«": "»"}
+_CLOSERS = frozenset(_PAIRS.values())
+_VOID = frozenset("br hr img input meta link col area base wbr source embed".split())
+#: What moves the automaton: breaks, whole tags, terminators with the closing marks behind them, dashes, marks.
+_EVENTS = re.compile(r"(?P<n>\n)|(?P<t></?[A-Za-z][^<>\n]*>)|(?P<s>[.!?…]+)|(?P<d>—|–|--+)|(?P<m>[“”„«»()\[\]\"])")
+#: A tag, entity, escape or character that the text stops in.
+_WITHIN = re.compile(r"(?:\ufffd|<[A-Za-z/!][^<>\n]*|&(?:#\w*|[A-Za-z]\w*)?|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?<=%[0-9A-F][0-9A-F])%[0-9A-F]?)[\s]*$")
 
-def left_open(text: str) -> str:
-    """What is still open at the end of the last paragraph, innermost last."""
-    stack: list[str] = []
-    last_break = -2
-    for m in _OPENERS.finditer(text):
-        c = m[0]
-        if c == "\n":
-            if m.start() - last_break == 1:
-                stack.clear()  # a new paragraph opens its own quotes
-            last_break = m.start()
+
+class Reader:
+    """The automaton after a whole text: its stack, and how the text's last words ended.
+
+    ``stack``: open symbols, outermost first (tags as ``<name``); ``last``: the
+    kind of the last event after which no word came (``s`` terminator, ``d``
+    dash, ``m`` closing mark, '' none: a sentence is open); ``trail``: the last
+    terminator leaves words out (an ellipsis); ``lost``: the last sentence is
+    closed though a comma or a word that needs another comes before its stop,
+    or its own quote is open; ``stops``, ``broken``: terminators, and those of
+    them that come after such a comma or word, all over the text.
+    """
+
+    __slots__ = ("stack", "last", "trail", "lost", "stops", "broken")
+
+    def __init__(self, text: str) -> None:
+        self.stack: list[str] = []
+        self.last, self.trail, self.lost = "", False, False
+        self.stops = self.broken = 0
+        at, newline, opened = 0, -2, False
+        for m in _EVENTS.finditer(text):
+            i, kind = m.start(), m.lastgroup
+            piece = text[at:i].rstrip("*_'’‘ \t") if i > at else ""
+            if piece and not piece.isspace():
+                self.last, self.trail, self.lost = "", False, False
+            at = m.end()
+            if kind == "n":
+                if newline >= 0 and (i == newline + 1 or text[newline + 1 : i].isspace()):
+                    self.stack = [x for x in self.stack if x[0] == "<"]
+                newline = i
+            elif kind == "t":
+                self._tag(m[0])
+            elif kind == "m":
+                if not self.last and m[0] in _CLOSERS and piece:
+                    self.lost = piece[-1] in ",;:" or piece[-1].isalnum() and m[0] in "”»"
+                if m[0] in "“„«":
+                    opened = True
+                self._mark(m[0])
+            else:
+                if kind == "s" and not self.last:
+                    self.stops += 1
+                    self.lost = piece[-1:] in (",", ";", ":") or piece[piece.rfind(" ") + 1 :].lower() in NEVER_LAST
+                    self.broken += self.lost
+                    self.lost |= opened and "“" in self.stack
+                    opened = False
+                self.last, self.trail = kind, kind == "s" and (m[0] == "…" or m[0].endswith("...") or m[0].endswith("…"))
+        if text[at:].strip("*_'’‘ \t\n"):
+            self.last, self.trail, self.lost = "", False, False
+
+    def _mark(self, c: str) -> None:
+        top = self.stack[-1] if self.stack else ""
+        if c == '"':
+            c = "”" if top == "“" else "“"
+        if c in _CLOSERS and top and _PAIRS.get(top) == c:
+            self.stack.pop()
         elif c in _PAIRS:
-            stack.append(c)
-        elif stack and _PAIRS[stack[-1]] == c:
-            stack.pop()
-    return "".join(stack)
+            self.stack.append(c)
+        if c in _PAIRS and c not in _CLOSERS:
+            self.last, self.trail = "", False
+        elif not self.last:
+            self.last = "m"
+
+    def _tag(self, tag: str) -> None:
+        name = re.match(r"</?([A-Za-z][\w-]*)", tag)[1].lower()
+        if name in _VOID or tag.endswith("/>"):
+            return
+        if tag[1] != "/":
+            self.stack.append("<" + name)
+        elif "<" + name in self.stack:
+            del self.stack[len(self.stack) - 1 - self.stack[::-1].index("<" + name) :]
+
+
+def left_open(text: str) -> str:
+    """The quotes, brackets and tags still open at the end of a text, innermost last."""
+    return "".join(Reader(text).stack)
 
 
 def _verse(lines: list[str]) -> bool:
     """Lines that break where the writer wants: most begin with a capital and several end without a stop."""
     own = [x for x in lines if x]
-    if len(own) < 2:
+    if len(own) < 2 or max(map(len, own)) >= 160:
         return False
     starts = sum(x.lstrip("“\"'‘(")[:1].isupper() for x in own)
-    loose = sum(not _STOP.search(x) for x in own[:-1])
-    return starts >= 0.9 * len(own) and loose >= max(1, 0.3 * (len(own) - 1)) and max(map(len, own)) < 160
+    return starts >= 0.9 * len(own) and sum(not _STOP.search(x, max(0, len(x) - _TAIL)) for x in own[:-1]) >= max(1, 0.3 * (len(own) - 1))
 
 
 def _signed(before: str, last: str, block: list[str], lines: list[str]) -> bool:
@@ -91,72 +160,86 @@ def _signed(before: str, last: str, block: list[str], lines: list[str]) -> bool:
     return len(before) < 60 and (len(block) == 2 and len(before) < 40 or not _verse([x for x in lines if x]))
 
 
+def _entry(line: str) -> bool:
+    return bool(_ENTRY.search(_ENTRY_TAIL.sub("", line[-_TAIL:])))
+
+
+def _listed(lines: list[str]) -> bool:
+    """Most of the lines are entries that end with a price, a page or a count."""
+    return len(lines) >= 2 and sum(_entry(x) for x in lines) >= 0.8 * len(lines)
+
+
 def ending(text: str | None) -> str:
     """``whole``, ``cut`` or ``open``."""
+    return judged(text)[0]
+
+
+def judged(text: str | None) -> tuple[str, Reader | None]:
+    """The way a text ends, and the automaton after it (None where the layout alone decides)."""
     if not text or not text.strip():
-        return "whole"
+        return "whole", None
     t = text.replace("\r\n", "\n").replace("\r", "\n")
-    for wrong, right in _WRONG.items():
-        if wrong in t:
+    if "â€" in t:
+        for wrong, right in _WRONG.items():
             t = t.replace(wrong, right)
-    if _BROKEN.search(t[-240:].rstrip("\n ")) and not re.search(r"[.!?>]\s*$", t):
-        return "cut"
-    t = _HEADER.sub("", _FOOTER.sub("", t)).rstrip()
-    if not t:
-        return "whole"
-    if _CLOSING.search(t):
-        mark = _MARKS.search(t)
-        if not mark:
-            return "whole"
-    marked = _MARKS.sub("", t).rstrip()
-    was_marked, t = marked != t, marked
+    if "**" in t:
+        t = _HEADER.sub("", _FOOTER.sub("", t))
+    t = t.rstrip()
     if not t:
-        return "whole"
-    lines = [re.sub(r"^\s*(?:>\s?)+", "", x).strip() for x in t.split("\n")]
+        return "whole", None
+    if _WITHIN.search(t[max(t.rfind("\n"), t.rfind("<"), 0) :]):
+        return "cut", None
+    mark = _MARKS.search(t, max(0, len(t) - _TAIL))
+    if not mark and _CLOSING.search(t[max(0, t.rfind("\n")) :]):
+        return "whole", None
+    if mark:
+        t = t[: mark.start()].rstrip()
+        if not t:
+            return "whole", None
+    lines = [x.strip() for x in (_QUOTED.sub("", t) if ">" in t else t).split("\n")]
     last = lines[-1]
     block = lines[max((i for i, x in enumerate(lines) if not x), default=-1) + 1 :]
     before = next((x for x in reversed(lines[:-1]) if x), "")
     if _PLACE.match(last) or _signed(before, last, block, lines):
-        return "whole"
-    own = [x for x in lines if x]
-    bare = _ENTRY_TAIL.sub("", last)
-    if _ENTRY.search(bare) or _ENTRY.search(last):
-        return "open" if was_marked or _TRAIL.search(last) else "whole"
-    entries = [bool(_ENTRY.search(_ENTRY_TAIL.sub("", x))) for x in own[:-1][-8:]]
-    if len(entries) >= 2 and sum(entries) >= 0.8 * len(entries):
-        return "whole" if _STOP.search(last) and len(last) > 60 else "cut"
-    word = (m[1] if (m := _LAST_WORD.search(t[-120:])) else "").lower()
-    if word in NEVER_LAST and not _DASH.search(t):
-        return "cut"
-    if re.search(r"[,;:][.”\"’»]+$", t) or re.search(r"[,;:]\.\.\.$", t):
+        return "whole", None
+    end = Reader(t)
+    return _state(t, lines, block, end, bool(mark)), end
+
+
+def _state(t: str, lines: list[str], block: list[str], end: Reader, mark: bool) -> str:
+    last, own = lines[-1], [x for x in lines if x]
+    # An entry ends by its own form; a list's last line that doesn't is unfinished.
+    if _entry(last) or _ENTRY.search(last[-_TAIL:]):
+        return "open" if mark or end.trail else "whole"
+    if _listed([x for x in block[:-1] if x]) or _listed(own[:-1]):
+        return "whole" if end.last == "s" and not end.trail and len(last) > 60 else "cut"
+    if end.lost and end.last != "d":
         return "cut"
-    if _TRAIL.search(t):
-        return "open"
-    if _DASH.search(t):
-        return "whole"
-    opened = left_open(t)
-    if _STOP.search(t):
-        # A stop set after the rest was lost leaves the last sentence's quote open.
-        if "“" in opened and not re.search(r"”|[.!?…—]\s", t[t.rindex("“") :]):
-            return "cut"
-        return "cut" if was_marked and opened else "open" if opened or was_marked else "whole"
+    if end.last == "s":
+        return "cut" if mark and end.stack else "open" if mark or end.stack or end.trail else "whole"
+    if end.last == "d":
+        return "open" if mark else "whole"
+    # A sentence is open. Lines may end where sentences don't, if the text's own lines do, but not within a bracket or far from the margin.
     verse = _verse(own) or _verse(block)
-    if t[-1] in ",;:" and "(" not in opened and last[:1].isupper() and len(last) < 120 and (verse or len(own) < 4):
-        return "open"
-    if re.search(r"[\w,;:]$", t) and verse and "(" not in opened:
-        sizes = sorted(len(x) for x in own[:-1])
-        usual = sizes[len(sizes) // 2]
-        if len(last) >= 0.6 * usual or len(own) < 3:
+    if "(" not in end.stack and end.last != "m":
+        if t[-1] in ",;:" and last[:1].isupper() and len(last) < 120 and (verse or len(own) < 4):
             return "open"
+        if verse and (t[-1].isalnum() or t[-1] in ",;:"):
+            sizes = sorted(len(x) for x in own[:-1])
+            if len(own) < 3 or len(last) >= 0.6 * sizes[len(sizes) // 2]:
+                return "open"
     return "cut"
 
 
 ENDS = "doc_id bigint, source string, n_chars int, n_bytes int, text_key bigint, state string"
+#: ``stopped``: cut though a terminator or closing mark ends the text; ``stops``, ``broken``: see :class:`Reader`.
+READ = ENDS + ", stopped boolean, stops bigint, broken bigint"
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b["text"].tolist()
+        read = [judged(t) for t in texts]
         yield pd.DataFrame(
             {
                 "doc_id": b["doc_id"],
@@ -164,7 +247,10 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "n_chars": [len(t) if t else 0 for t in texts],
                 "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts],
                 "text_key": b["text_key"],
-                "state": [ending(t) for t in texts],
+                "state": [state for state, _ in read],
+                "stopped": [state == "cut" and r is not None and r.last in ("s", "m") for state, r in read],
+                "stops": [r.stops if r else 0 for _, r in read],
+                "broken": [r.broken if r else 0 for _, r in read],
             }
         )
 
@@ -200,10 +286,25 @@ def source_limits(ends: DataFrame, least_texts: int = 3, chance: float = 0.01, n
     return found.withColumn("best", best).where((F.col("unit") == "chars") | (F.col("best.less") == -F.col("size"))).select("source", "unit", "size", "texts")
 
 
+def stopped_sources(ends: DataFrame, chance: float = 0.01) -> DataFrame:
+    """``(source)``: sources (null: one of its own) with more stopped cuts than the broken stops inside their texts explain.
+
+    Different texts are counted. As in :func:`source_limits`, by Chernoff's
+    bound so many must have a probability below ``chance`` over all sources.
+    """
+    texts = ends.groupBy("source", "text_key").agg(F.max("stops").alias("stops"), F.max("broken").alias("broken"), F.max(F.col("stopped").cast("int")).alias("stopped"))
+    per = texts.groupBy("source").agg(F.count("*").alias("n"), F.sum("stopped").alias("k"), F.sum("stops").alias("stops"), F.sum("broken").alias("broken"))
+    per = per.withColumn("all", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row per source
+    # The mean from above, since few broken stops lie in small sources.
+    expected = F.col("n") * (F.col("broken") + 3 + 2 * F.sqrt("broken")) / F.greatest("stops", F.lit(1))
+    surprise = F.col("k") * F.log(F.col("k") / expected) - F.col("k") + expected
+    return per.where((F.col("k") > expected) & (surprise >= F.log(F.col("all") / chance))).select("source")
+
+
 def truncations(documents: DataFrame, least_texts: int = 3) -> DataFrame:
     """``(doc_id, source, n_chars, state, at_limit, is_cut)``, a row per document row."""
     rows = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key"))
-    ends = written(rows.mapInPandas(_ends, ENDS), "cut-ends")
+    ends = written(rows.mapInPandas(_ends, READ), "cut-ends")
     limits = written(source_limits(ends, least_texts), "cut-limits")
     chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("limit_chars")).distinct()
     # A byte limit leaves up to three bytes of a broken character out.
@@ -217,9 +318,12 @@ def truncations(documents: DataFrame, least_texts: int = 3) -> DataFrame:
     known = ends.join(at_c, ["source", "n_chars"], "left").join(at_b, ["source", "n_bytes"], "left").join(any_c, "n_chars", "left").join(any_b, "n_bytes", "left")
     no = F.lit(False)
     at_limit = F.when(F.col("source").isNull(), F.coalesce("any_chars", no) | F.coalesce("any_bytes", no)).otherwise(F.coalesce("at_chars", no) | F.coalesce("at_bytes", no))
-    judged = known.withColumn("at_limit", at_limit).withColumn("own", (F.col("state") == "cut") | ((F.col("state") == "open") & F.col("at_limit")))
-    bad = judged.where("own").select("text_key", F.lit(True).alias("copied")).distinct()
-    return judged.join(bad, "text_key", "left").select("doc_id", "source", "n_chars", "state", "at_limit", F.coalesce("copied", no).alias("is_cut"))
+    telling = F.broadcast(stopped_sources(ends).select(F.col("source").alias("s"), F.lit(True).alias("telling")))  # a row per source at most
+    known = known.join(telling, F.col("source").eqNullSafe(F.col("s")), "left")
+    sure = (F.col("state") == "cut") & (~F.col("stopped") | F.coalesce("telling", no))
+    seen = known.withColumn("at_limit", at_limit).withColumn("own", sure | ((F.col("state") != "whole") & F.col("at_limit")))
+    bad = seen.where("own").select("text_key", F.lit(True).alias("copied")).distinct()
+    return seen.join(bad, "text_key", "left").select("doc_id", "source", "n_chars", "state", "at_limit", F.coalesce("copied", no).alias("is_cut"))
 
 
 def truncated_documents(documents: DataFrame) -> DataFrame:
