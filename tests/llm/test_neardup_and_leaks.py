@@ -126,3 +126,48 @@ def test_an_id_with_a_copy_keeps_its_other_text(spark):
     ii = spark.createDataFrame([("text", "x", b), ("text", "y", a)], "item_field string, item_id string, text string")
     got = {tuple(r) for r in L.leaked_items(dd, ii).collect()}
     assert got == {(1, "text", "y"), (2, "text", "y"), (2, "text", "x")}
+
+
+def _spread(spark, n=60):
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        base = [rng.choice(WORDS) for _ in range(60)]
+        rows += [(f"{i:02}a", base), (f"{i:02}b", edited(base, 2)), (f"{i:02}c", base + [rng.choice(WORDS) for _ in range(10)])]
+    return rows, spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "id string, text string")
+
+
+def test_groups_are_those_of_exact_weights(spark):
+    rows, df = _spread(spark)
+    sets = {k: {} for k, _ in rows}
+    for k, w in rows:
+        for i in range(len(w) - 4):
+            g = tuple(w[i : i + 5])
+            sets[k][g] = sets[k].get(g, 0) + 1
+    df_of = {}
+    for v in sets.values():
+        for g in v:
+            df_of[g] = df_of.get(g, 0) + 1
+    for rarest in (1024, 30):
+        weigh = {k: {g: (1 + np.log(c)) * np.log(1 + min(len(rows) / df_of[g], rarest)) for g, c in v.items()} for k, v in sets.items()}
+        want = dict.fromkeys(sets, 0)
+        ids = sorted(sets)
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                x, y = weigh[a], weigh[b]
+                low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+                if low and (low / (sum(x.values()) + sum(y.values()) - low) >= 0.8 or len(x.keys() & y.keys()) >= 0.8 * len(x.keys() | y.keys())):
+                    want[a] += 1
+                    want[b] += 1
+        for hot in (500, 1):
+            got = {r["id"]: r["links"] for r in D.near_duplicate_groups(df, "id", "text", D.Settings(weighted=0.8, rarest=rarest, hot=hot)).collect()}
+            assert got == want and sum(want.values()) > 50
+
+
+def test_hot_bands_lose_no_pair(spark):
+    rows, df = _spread(spark)
+    ids, texts = sorted(k for k, _ in rows), dict(rows)
+    want = {(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b], 3) >= 0.7}
+    for hot in (500, 1):
+        s = D.Settings(unit="word", size=3, jaccard=0.7, bands=24, rows=1, plain_bands=24, hot=hot)
+        assert {(r["id_a"], r["id_b"]) for r in D.near_duplicate_pairs(df, "id", "text", s).collect()} == want

@@ -2,16 +2,20 @@
 
 1. Shingles of a text are runs of ``size`` words (or characters); texts with
    one and the same shingle set form a class, and only the class is compared.
-2. A shingle weighs (1 + ln tf) * ln(1 + N / df). Document frequencies cover
-   all rows; they are kept in ``df_slots`` hashed counters, so that what is
-   sent to the tasks has a fixed size however large the collection is. A
-   counter that several rare shingles share lets them weigh a little less,
-   alike in every text, and leaves nothing out.
+2. A shingle weighs (1 + ln tf) * ln(1 + min(N / df, ``rarest``)). Document
+   frequencies are exact, over all classes, by a hash-partitioned aggregate;
+   only the shingles of more than one in ``rarest`` texts are sent to the tasks,
+   at most ``rarest`` times as many as a text holds on average, however large
+   the collection is. A rarer shingle tells no more than one of that frequency,
+   so weights don't drift as the collection grows.
 3. Improved consistent weighted sampling draws ``bands * rows`` samples from
    the weighted set; two sets agree in a sample with a probability equal to
    their weighted Jaccard similarity. Bands of ``rows`` samples are join keys.
 4. Classes that meet in a band are verified: by weighted Jaccard similarity,
-   and, where asked, by the share of common distinct shingles.
+   where ``weighted`` is set, or by the share of common distinct shingles. A
+   band of more than ``hot`` classes is split by size on a geometric scale,
+   which loses no similar pair: their sizes (or total weights) are as near as
+   the threshold says.
 
 The uniform draws of a (sample, shingle) come from a table of 2^16 triples that
 each sample addresses through its own hash of the shingle: fixed, the same on
@@ -24,6 +28,7 @@ class; an empty table gives empty results.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,21 +53,24 @@ class Settings:
     unit: str = "word"  # or "char": characters of the text stripped to letters and digits
     size: int = 5
     jaccard: float = 0.8  # least share of common distinct shingles
-    weighted: float = 0.0  # least weighted Jaccard similarity
+    weighted: float | None = None  # least weighted Jaccard similarity, which makes a pair similar as well
     bands: int = 20
     rows: int = 3
     #: Bands drawn without weights: a pair at ``jaccard`` is missed with at most (1 - jaccard^rows)^plain_bands, here 0.512: < 0.0001 %.
     plain_bands: int = 20
-    df_slots: int = 1 << 18
+    rarest: int = 1024
+    hot: int = 500
 
 
 #: Passages, as p3_found defines them, by the sets alone: a pair at 0.7 is missed with at most (1 - 0.7^3)^24 < 0.005 % whatever its
 #: weighted similarity; the weighted bands alone would miss one of weighted similarity w with (1 - w^3)^24, half of them at w = 0.3.
 PASSAGES = Settings(unit="word", size=3, jaccard=0.7, bands=24, rows=3, plain_bands=24)
 #: Titles: a pair at 0.6 is missed with at most (1 - 0.6^4)^120 < 0.00001 %, by the weighted bands alone with (1 - w^4)^120.
-TITLES = Settings(unit="char", size=3, jaccard=0.6, bands=120, rows=4, plain_bands=120, df_slots=1 << 16)
+TITLES = Settings(unit="char", size=3, jaccard=0.6, bands=120, rows=4, plain_bands=120)
+#: Groups of passages: five words, similar by weight or by the sets; a pair at 0.8 by weight is missed with at most (1 - 0.8^3)^20 < 0.0001 %.
+GROUPS = Settings(weighted=0.8)
 
-FEATURES = "id string, key string, n int, sh array<bigint>, tf array<int>"
+FEATURES = "id string, key binary, n int, sh array<bigint>, tf array<int>"
 
 
 def shingles(texts: list[str | None], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +108,7 @@ def _features(s: Settings):
             yield pd.DataFrame(
                 {
                     "id": b["id"].values[keep],
-                    "key": [f"{int(ka[i]):016x}{int(kc[i]):016x}{ends[i] - starts[i]:x}" for i in keep],
+                    "key": [x.tobytes() for x in np.stack([ka, kc, (ends - starts).astype(np.uint64)], 1)[keep]],
                     "n": (ends - starts)[keep].astype(np.int32),
                     "sh": [sh[starts[i] : ends[i]] for i in keep],
                     "tf": [tf[starts[i] : ends[i]] for i in keep],
@@ -110,19 +118,13 @@ def _features(s: Settings):
     return run
 
 
-def _slot_counts(s: Settings):
-    """Counts by slot within a task, so that no more than ``df_slots`` rows leave it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(s.df_slots, np.int64)
-        for b in batches:
-            if len(b):
-                h = np.concatenate(b["sh"].values).view(np.uint64)
-                counts += np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) & (s.df_slots - 1), minlength=s.df_slots)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": at.astype(np.int32), "df": counts[at]})
-
-    return run
+def common_shingles(reps: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(hashes, frequencies, N)``: the shingles of more than one in ``rarest`` classes, by hash."""
+    total = reps.count()
+    counts = reps.select(F.explode("sh").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    # At most rarest * (shingles of an average class) rows: a bound that the collection's size doesn't move.
+    found = counts.where(F.col("df") * s.rarest > total).toPandas().sort_values("h")
+    return found["h"].to_numpy(np.int64), found["df"].to_numpy(np.float64), total
 
 
 @lru_cache(maxsize=2)
@@ -163,9 +165,14 @@ def band_keys(sh: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, bands:
     return out
 
 
-def _weights(sh: np.ndarray, tf: np.ndarray, counts: np.ndarray, total: float, slots: int) -> np.ndarray:
-    df = counts[(mix(sh.view(np.uint64)) >> np.uint64(40)).astype(np.int64) & (slots - 1)]
-    return (1 + np.log(np.maximum(tf, 1))) * np.log(1 + total / np.maximum(df, 1))
+def _weights(sh: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], rarest: int) -> np.ndarray:
+    h, df, total = common
+    ratio = np.full(len(sh), float(rarest))
+    if len(h):
+        at = np.minimum(np.searchsorted(h, sh), len(h) - 1)
+        hit = h[at] == sh
+        ratio[hit] = np.minimum(total / df[at[hit]], rarest)
+    return (1 + np.log(np.maximum(tf, 1))) * np.log(1 + ratio)
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -181,12 +188,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[Dat
 
 def similar_classes(reps: DataFrame, s: Settings) -> DataFrame:
     """``(key_a, key_b, jaccard, weighted)`` of the class pairs that are similar enough."""
-    spark = reps.sparkSession
-    counted = reps.select("sh").mapInPandas(_slot_counts(s), "slot int, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
-    counts = np.zeros(s.df_slots, np.int32)
-    counts[counted["slot"].values] = np.minimum(counted["df"].values, 2**31 - 1)
-    total = float(reps.count())
-    sent = spark.sparkContext.broadcast(counts)  # df_slots * 4 bytes, whatever the input
+    sent = reps.sparkSession.sparkContext.broadcast(common_shingles(reps, s))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,19 +197,29 @@ def similar_classes(reps: DataFrame, s: Settings) -> DataFrame:
                     continue
                 sub = b.iloc[part]
                 sh = np.concatenate(sub["sh"].values)
-                w = _weights(sh, np.concatenate(sub["tf"].values), sent.value, total, s.df_slots)
+                w = _weights(sh, np.concatenate(sub["tf"].values), sent.value, s.rarest)
                 starts = np.r_[0, np.cumsum(sub["n"].values)[:-1]].astype(np.intp)
                 keys = band_keys(sh, np.log(w).astype(np.float32), starts, s.bands, s.rows)
                 plain = band_keys(sh, np.zeros(len(sh), np.float32), starts, s.plain_bands, s.rows, s.bands)
-                yield pd.DataFrame({"key": sub["key"].values, "n": sub["n"].values, "bands": list(np.hstack([keys, plain]))})
-
-    signed = written(reps.select("key", "n", "sh", "tf").mapInPandas(sign, "key string, n int, bands array<bigint>"), "dup-bands")
-    keyed = signed.select("key", "n", F.explode("bands").alias("band"))
-    # Bands that one class alone has are dropped before the join.
-    shared = keyed.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    keyed = written(keyed.join(shared, "band", "left_semi"), "dup-shared")
-    near = (F.least("a.n", "b.n") >= F.lit(s.jaccard) * F.greatest("a.n", "b.n")) & (F.col("a.key") < F.col("b.key"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), "band").where(near).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+                yield pd.DataFrame({"key": sub["key"].values, "n": sub["n"].astype(float).values, "w": np.add.reduceat(w, starts), "bands": list(keys), "plain": list(plain)})
+
+    signed = written(reps.select("key", "n", "sh", "tf").mapInPandas(sign, "key binary, n double, w double, bands array<bigint>, plain array<bigint>"), "dup-bands")
+
+    def side(size: str, least: float, bands: str) -> DataFrame:
+        step = F.floor(F.log(size) / math.log(1 / least)).cast("int") if least < 1 else F.lit(0)
+        return signed.select("key", F.col(size).alias("size"), F.lit(least).alias("least"), step.alias("step"), F.explode(bands).alias("band"))
+
+    keyed = side("n", s.jaccard, "bands" if s.weighted is None else "plain")
+    keyed = keyed.union(side("n", s.jaccard, "plain") if s.weighted is None else side("w", s.weighted, "bands"))
+    # Bands that one class alone has are dropped before the join; hot ones are split by size.
+    shared = keyed.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band", (F.col("c") > s.hot).alias("hot"))
+    keyed = written(keyed.join(shared, "band"), "dup-shared")
+    step = F.when(F.col("hot"), F.col("step")).otherwise(0)
+    a = keyed.select("band", "key", "size", "least", F.explode(F.when(F.col("hot"), F.array(F.col("step"), F.col("step") + 1)).otherwise(F.array(F.lit(0)))).alias("step")).alias("a")
+    b = keyed.select("band", "key", "size", step.alias("step")).alias("b")
+    # The first is the smaller, and not too small; neighbouring steps hold all such pairs.
+    near = (F.struct("a.size", "a.key") < F.struct("b.size", "b.key")) & (F.col("a.size") >= F.col("a.least") * F.col("b.size") * (1 - 1e-9))
+    pairs = a.join(b, ["band", "step"]).where(near).select(F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")).distinct()
     sets = reps.select("key", "sh", "tf")
     both = pairs.join(sets.select(F.col("key").alias("key_a"), F.col("sh").alias("sa"), F.col("tf").alias("ta")), "key_a").join(
         sets.select(F.col("key").alias("key_b"), F.col("sh").alias("sb"), F.col("tf").alias("tb")), "key_b"
@@ -219,16 +231,16 @@ def similar_classes(reps: DataFrame, s: Settings) -> DataFrame:
             for ka, kb, sa, sb, ta, tb in zip(b["key_a"], b["key_b"], b["sa"], b["sb"], b["ta"], b["tb"]):
                 common, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 jac = len(common) / (len(sa) + len(sb) - len(common))
-                if jac < s.jaccard:
+                if jac < s.jaccard and s.weighted is None:
                     continue
-                wa, wb = (_weights(x, t, sent.value, total, s.df_slots) for x, t in ((sa, ta), (sb, tb)))
+                wa, wb = (_weights(x, t, sent.value, s.rarest) for x, t in ((sa, ta), (sb, tb)))
                 low = np.minimum(wa[ia], wb[ib]).sum()
                 wj = low / (wa.sum() + wb.sum() - low)
-                if wj >= s.weighted:
+                if jac >= s.jaccard or wj >= s.weighted:
                     out.append((ka, kb, jac, wj))
             yield pd.DataFrame(out, columns=["key_a", "key_b", "jaccard", "weighted"])
 
-    return both.mapInPandas(verify, "key_a string, key_b string, jaccard double, weighted double")
+    return both.mapInPandas(verify, "key_a binary, key_b binary, jaccard double, weighted double")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
@@ -243,7 +255,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, s: Settings)
     return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, s: Settings = Settings()) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, s: Settings = GROUPS) -> DataFrame:
     """``(id, class_id, group_id, links)``, a row per id with shingles.
 
     ``class_id``: the smallest id with the same shingles (the smallest of
