@@ -104,6 +104,17 @@ def test_pack_is_sound_and_tight():
     assert P.pack([], 10) == [] and P.pack([0, 0], 10) == [0, 0] and P.pack([10, 10, 1], 10) == [0, 1, 2]
 
 
+def test_few_sequences_are_left_underfilled():
+    rng = random.Random(8)
+    sizes = sorted((rng.randrange(1, 200) if rng.random() < 0.6 else rng.randrange(200, 512) for _ in range(6000)), reverse=True)
+    where = P.pack(sizes, 512)
+    load = np.bincount(where, sizes)
+    assert load.max() <= 512 and sum(sizes) / (len(load) * 512) > 0.99 and (load < 0.9 * 512).sum() <= 5 and (load > 0).all()
+    first = P.pack(sizes, 512, spare=-1.0, underfilled=0.0)
+    assert max(where) < max(first)
+    assert P._closed([300, 200, 100], [0, 1, 2], [212, 312, 412], 512, 0.9) == [0, 0, 1]
+
+
 def test_every_document_is_packed_once(spark):
     rows = [(i, "word " * (i % 40), "x") for i in range(120)] + [(500, "word " * 700, "x"), (501, None, None), (502, "", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, container_name string")

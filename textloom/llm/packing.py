@@ -2,9 +2,12 @@
 
 A piece of n tokens costs n + n^2 / capacity: a linear part and the quadratic
 part of attention within the piece. Pieces are taken in descending size and
-each goes to the cheapest sequence that still has room; as many sequences are
-open from the start as the tokens need at least, and another is opened only
-where none has room. Documents above the capacity fill whole sequences and
+each goes to the cheapest of the sequences that it would fill up (but for a
+share ``spare``), or, if there are none, to the cheapest sequence that has room;
+as many sequences are open from the start as the tokens need at least, and
+another is opened only where none has room. The sequences that this leaves
+underfilled give their pieces back, which then go where the room is tightest,
+if fewer sequences do that way. Documents above the capacity fill whole sequences and
 leave one remainder, which is packed like any piece; nothing else is divided.
 
 Documents are dealt by hash into blocks of about ``block`` documents, packed
@@ -20,6 +23,7 @@ that are null or not positive are left out; empty tables give empty results.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,31 +58,66 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, id_col: st
     return rows.mapInPandas(count, f"doc_id {fields[id_col]}{kinds}, n_tokens bigint")
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
+def pack(sizes: list[int], capacity: int, spare: float = 0.0, underfilled: float = 0.9) -> list[int]:
     """The sequence of each piece (sizes descending, none above the capacity)."""
-    total = sum(sizes)
-    count = max(1, -(-total // capacity)) if sizes else 0
+    count = max(1, -(-sum(sizes) // capacity)) if sizes else 0
+    room, cost = [capacity] * count, [0.0] * count
+    # By cost, those with room for the piece at hand; and by room, for the pieces that fill one up. Entries whose room has changed are passed over.
     ready = [(0.0, i, capacity) for i in range(count)]
+    by_room: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, i) for i in range(count)]}
     waiting: dict[int, list[tuple[float, int, int]]] = {}
-    out, last = [], capacity
+    out, last, slack = [], capacity, int(spare * capacity)
     for s in sizes:
         # Sequences that had no room for the larger pieces may have room now.
-        for room in range(last - 1, s - 1, -1):
-            for item in waiting.pop(room, ()):
+        for r in range(last - 1, s - 1, -1):
+            for item in waiting.pop(r, ()):
                 heapq.heappush(ready, item)
-        last = min(last, s)
-        if ready:
-            cost, i, room = heapq.heappop(ready)
-        else:
-            cost, i, room = 0.0, count, capacity
-            count += 1
+        last, best = min(last, s), None
+        for r in range(s, min(s + slack, capacity) + 1):
+            same = by_room.get(r, ())
+            while same and room[same[0][1]] != r:
+                heapq.heappop(same)
+            if same and (best is None or same[0] < best):
+                best = same[0]
+        while best is None and ready:
+            c, i, r = heapq.heappop(ready)
+            if room[i] == r:
+                best = (c, i)
+        if best is None:
+            best = (0.0, len(room))
+            room.append(capacity)
+            cost.append(0.0)
+        i = best[1]
         out.append(i)
-        item = (cost + s + s * s / capacity, i, room - s)
-        if room - s >= s:
+        cost[i] += s + s * s / capacity
+        room[i] -= s
+        heapq.heappush(by_room.setdefault(room[i], []), (cost[i], i))
+        item = (cost[i], i, room[i])
+        if room[i] >= s:
             heapq.heappush(ready, item)
         else:
-            waiting.setdefault(room - s, []).append(item)
-    return out
+            waiting.setdefault(room[i], []).append(item)
+    return _closed(sizes, out, room, capacity, underfilled)
+
+
+def _closed(sizes: list[int], where: list[int], room: list[int], capacity: int, underfilled: float) -> list[int]:
+    """The closing pass: pieces of sequences below the share ``underfilled``, in descending size, to the tightest room."""
+    low = {i for i, r in enumerate(room) if capacity - r < underfilled * capacity}
+    rooms = sorted((r, i) for i, r in enumerate(room) if i not in low and r)
+    free, out, used = sorted(low, reverse=True), list(where), 0
+    for k, (s, i) in enumerate(zip(sizes, where)):
+        if i not in low:
+            continue
+        at = bisect_left(rooms, (s, -1))
+        if at < len(rooms):
+            r, j = rooms.pop(at)
+        elif free:
+            r, j, used = capacity, free.pop(), used + 1
+        else:
+            return where
+        out[k] = j
+        insort(rooms, (r - s, j))
+    return out if used < len(set(where) & low) else where
 
 
 PACKED = "container_name string, doc_id bigint, piece_no int, container_id string, n_tokens bigint"
