@@ -90,3 +90,27 @@ def test_clean_beats_longer_and_dirty_stay(spark):
     got = {r["id"]: (r["role"], r["representative"]) for r in D.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, ok boolean"), F.col("ok")).collect()}
     assert got[2] == ("representative", None) and got[1] == ("loser", 2)
     assert got[3] == ("kept", None) == got[4]
+
+
+def test_exact_pairs_with_hot_shingles_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    frame = [word() for _ in range(40)]
+    rows = []
+    for i in range(30):
+        own = [word() for _ in range(rng.choice([4, 8, 40]))]
+        rows.append((i, " ".join(frame + own)))
+        if i % 3 == 0:
+            rows.append((100 + i, " ".join(frame + own[:-1] + ["changed"])))
+    s = D.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute(rows)
+    for hot, send in ((64, 200_000), (3, 200_000), (3, 0)):
+        assert {(r["i"], r["j"]) for r in D.exact_pairs(s, hot=hot, send=send).collect()} == want and want
+
+
+def test_equal_runs(spark):
+    q = spark.createDataFrame([("q", "one two three four"), ("short", "one"), ("none", "five six seven"), ("null", None)], "id string, text string")
+    c = spark.createDataFrame([(1, "zero one TWO three, four two three four"), (2, None), (3, "")], "doc_id int, text string")
+    for send in (100, 0):
+        got = {tuple(r) for r in D.equal_runs(q, c, 3, send).select("id", "doc_id", "q_start", "c_start").collect()}
+        assert got == {("q", 1, 0, 1), ("q", 1, 1, 2), ("q", 1, 1, 5)}

@@ -55,9 +55,32 @@ def test_overlap_of_edges(spark):
     assert r[3]["word_overlap"] == 1.0 and r[3]["recall"] == 0.0
 
 
-def test_degraded_column_equals_row_version(spark):
-    t = "Verily; He came, who knew it. Twas (a joke) Nigh! The end: so  it   goes — fine. A b."
-    assert spark.createDataFrame([(t,)], "t string").select(C.degraded(F.col("t"))).first()[0] == C.degraded_row(t)
+@pytest.mark.parametrize(
+    "text,plain",
+    [
+        ("He paused: The night fell; Nothing moved.", "He paused. the night fell. nothing moved."),
+        ("Verily; He came, who knew it. Twas (a joke) Nigh! The end: so  it   goes — Fine. A b.", "truly. he came. it was near! the end. so it goes. fine. a b."),
+        ("Perchance (a\nb) Stop.\n\nÉtoile. Mayhap.", "maybe (a\nb) Stop. Étoile. maybe."),
+        (None, None), ("", ""),
+    ],
+)
+def test_degraded(spark, text, plain):
+    assert spark.createDataFrame([(text,)], "t string").select(C.degraded(F.col("t"))).first()[0] == plain
+
+
+def test_allocation_where_a_slice_owes():
+    # b and c would get 3 each, a owes 1.8: one each in turn is taken back.
+    assert X.allocate([-0.9, 1.7, 1.7], ["a", "b", "c"], 2, [0.0, 0.0, 0.0])[0] == [0, 1, 1]
+    counts, carry = X.allocate([0.5, 0.5], ["a", "b"], 3, [-4.0, 4.0])
+    assert counts == [0, 3] and carry == [-2.5, 2.5]
+
+
+def test_pool_plan_can_refuse(spark):
+    shards = spark.createDataFrame([("a", 0, 10)], "slice string, shard bigint, n_tokens bigint")
+    counts = spark.createDataFrame([("x", 0, "a", 9), ("x", 0, "none", 1)], "schedule_name string, step bigint, slice string, count int")
+    assert X.pool_plan(counts, shards, 3).count() == 1
+    with pytest.raises(Exception, match="longer than every shard"):
+        X.pool_plan(counts, shards, 3, strict=True).collect()
 
 
 def test_passages_merge_greedily(spark):
@@ -69,3 +92,15 @@ def test_passages_merge_greedily(spark):
 
 def test_student_t():
     assert abs(C.t_lower_p(-2.015, 5) - 0.05) < 1e-4 and abs(C.t_lower_p(2.228, 10) - 0.975) < 1e-4 and C.t_lower_p(0.0, 3) == 0.5
+
+
+def test_covariance_of_tasks_joins_exactly(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(1000.0, [1.0, 2.0, 0.5], (60, 3))
+    df = spark.createDataFrame([(v.tolist(), 1) for v in x] + [(None, 1)], "v array<double>, i int").repartition(7)
+    got = {(r["i"], r["j"]): r["cov"] for r in C.covariance(df, "v").collect()}
+    want = np.cov(x.T)
+    assert len(got) == 6 and all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in got)
+    assert C.covariance(df.limit(0), "v").count() == 0

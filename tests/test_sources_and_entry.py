@@ -22,6 +22,19 @@ def test_shard_round_trip(spark, tmp_path):
         shards.check_header(b"\0" * 1024, 1024)
 
 
+def test_rows_of_a_shard_follow_one_another(spark, tmp_path):
+    shards.register(spark)
+    rows = spark.createDataFrame([(0, [1, 2, 3]), (0, [9]), (0, None), (1, [7])], "shard bigint, tokens array<int>").coalesce(1)
+    rows.write.format("token_shard").mode("append").save(str(tmp_path / "s"))
+    got = {r["name"]: (r["n_tokens"], r["tokens"]) for r in spark.read.format("token_shard").load(str(tmp_path / "s")).collect()}
+    assert got == {"train_000000.bin": (4, [1, 2, 3, 9]), "train_000001.bin": (1, [7])}
+    apart = spark.createDataFrame([(0, [1]), (1, [2]), (0, [3])], rows.schema).coalesce(1)
+    for bad in (apart, apart.repartition(3), spark.createDataFrame([(5, [1, 70000])], rows.schema)):
+        with pytest.raises(Exception):
+            bad.write.format("token_shard").mode("append").save(str(tmp_path / "t"))
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.endswith(".bin")]
+
+
 def test_shards_cut_documents(spark):
     t = spark.createDataFrame([(1, [9, 1, 2]), (2, [9, 3, 4, 5, 6]), (3, [9])], "doc_id bigint, tokens array<int>")
     got = {r["shard"]: r["tokens"] for r in B.to_shards(t, 4).collect()}

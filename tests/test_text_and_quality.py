@@ -38,3 +38,10 @@ def test_lower_percentiles_do_not_interpolate(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 2, 2, 10)] + [(None,), (float("inf"),)], "x double")
     got = {r["p"]: r["value"] for r in Q.lower_percentiles(v, "x", [0.0, 0.5, 0.99, 1.0]).collect()}
     assert got == {0.0: 1.0, 0.5: 2.0, 0.99: 2.0, 1.0: 10.0}
+
+
+def test_longest_repeat(spark):
+    rows = [("a b c a b c a b", (5, 2)), ("x x x x", (3, 2)), ("a b c d e f", None), ("", None), ("w1 w2 w3 q w1 w2 w3 r w1 w2 w3", (3, 3)), (" ".join(map(str, range(20))) + " " + " ".join(map(str, range(20))), (12, 2))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r["i"]: r["b"] and tuple(r["b"]) for r in df.select("i", T.longest_repeat(T.ascii_words(F.col("t")), 3, 12).alias("b")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}

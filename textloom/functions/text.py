@@ -43,6 +43,27 @@ def ngrams(words: Column, n: int) -> Column:
     return bound(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(grams(w)))
 
 
+def longest_repeat(words: Column, least: int, most: int) -> Column:
+    """``(n, k)``: the greatest n from ``least`` to ``most`` of which a run of n words comes twice, and how often
+    the commonest does; null if none. Longer runs are tried first, within the row.
+    """
+
+    def times(h: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when((x == a["last"]) & (a["run"] > 0), a["run"] + 1).otherwise(1)
+            return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+        return F.aggregate(F.array_sort(h), none, step, lambda a: a["best"])
+
+    def tried(n: int) -> Column:
+        hashes = F.transform(ngrams(words, n), lambda g: F.xxhash64(g))
+        return bound(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), F.struct(F.lit(n).alias("n"), times(h).alias("k"))))
+
+    return F.coalesce(*[tried(n) for n in range(most, least - 1, -1)])
+
+
 def strip_boilerplate(text: Column) -> Column:
     """The text between the first start marker and the first end marker, each optional, stripped.
 

@@ -75,23 +75,23 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, tokens array<int>")
 
 
-def to_shards(tokens: DataFrame, shard_size: int) -> DataFrame:
-    """``(shard, tokens)``: documents in order of id as one stream, cut every ``shard_size`` tokens.
+def shard_pieces(tokens: DataFrame, shard_size: int) -> DataFrame:
+    """``(shard, low, tokens)``: documents in order of id as one stream, cut every ``shard_size`` tokens.
 
-    A task holds one shard at a time, whose size is fixed.
+    A piece is what a document has in a shard, ``low`` its place in the stream;
+    a shard's pieces lie together and in order in one partition.
     """
     from textloom.operators.prefix import running_sum
 
     at = running_sum(tokens.withColumn("n", F.size("tokens")), [], ["doc_id"], "n", "start", name="shard-offsets")
     k = F.explode(F.sequence(F.floor(F.col("start") / shard_size), F.floor((F.col("start") + F.col("n") - 1) / shard_size))).alias("shard")
-    p = at.select("start", "n", "tokens", k)
+    p = at.where("n > 0").select("start", "n", "tokens", k)
     low, high = F.greatest("start", F.col("shard") * shard_size), F.least(F.col("start") + F.col("n"), (F.col("shard") + 1) * shard_size)
     piece = F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-    parts = p.select("shard", low.alias("low"), piece.alias("part"))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("low")
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "tokens": [np.concatenate(pdf["part"].values)]})
+    return p.select("shard", low.alias("low"), piece.alias("tokens")).repartition("shard").sortWithinPartitions("shard", "low")
 
-    return parts.groupBy("shard").applyInPandas(join, "shard bigint, tokens array<int>")
 
+def to_shards(tokens: DataFrame, shard_size: int) -> DataFrame:
+    """``(shard, tokens)``: the pieces of :func:`shard_pieces` joined, a row per shard."""
+    pieces = shard_pieces(tokens, shard_size).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("low", "tokens"))).alias("p"))
+    return pieces.select("shard", F.flatten(F.transform("p", lambda x: x["tokens"])).alias("tokens"))

@@ -93,24 +93,57 @@ def signature_prefilter(sig: DataFrame, floor: float = FLOOR) -> DataFrame:
     return met.groupBy("i", "j").agg(F.count("*").alias("equal")).where(F.col("equal") >= int(np.ceil(floor * PERMUTATIONS)))
 
 
-def exact_pairs(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+def exact_pairs(sets: DataFrame, jaccard: float = JACCARD, hot: int = 64, send: int = 200_000) -> DataFrame:
     """``(i, j, jaccard)`` of all pairs of sets at or above the threshold: exact prefix-filtered join.
 
-    Of each set, sorted from the rarest shingle on, only the first
-    n - ceil(t n) + 1 are joined: two sets at t share one of them. Pairs that
-    meet are verified on the full sets.
+    Of each set, in one order of all shingles, only the first n - ceil(t n) + 1
+    are joined: two sets at t share one of them. The order is that of the
+    hashes, in which the sets are sorted already, but for shingles that more
+    than ``hot`` prefixes hold: they come last, and only the sets with such a
+    one in their prefix are put in order anew. Pairs that meet are verified on
+    the full sets.
     """
-    sh = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("g"))
-    df = sh.groupBy("g").agg(F.count("*").alias("f"))
-    keep = F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")) + 1
-    ordered = sh.join(df, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).where("x.f > 1").select("id", "n", "x.g")
+    keep = (F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")) + 1).cast("int")
+    sized = sets.select("id", "sh", F.size("sh").alias("n"))
+    first = written(sized.select("id", "n", F.explode(F.slice("sh", F.lit(1), keep)).alias("g")), "dedup-prefixes")
+    common = written(first.groupBy("g").agg(F.count("*").alias("f")).where(F.col("f") > hot).select("g"), "dedup-common")
+    few = common.count() <= send
+    common = F.broadcast(common) if few else common
+    late = written(first.join(common, "g", "left_semi").select("id").distinct(), "dedup-late")
+    anew = sized.join(F.broadcast(late) if late.count() <= send else late, "id", "left_semi").select("id", "n", F.explode("sh").alias("g"))
+    last = common.withColumn("last", F.lit(True))
+    ordered = anew.join(last, "g", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "g"))).alias("o"))
+    put = ordered.select("id", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["g"])).alias("g"))
+    kept = first.join(F.broadcast(late) if late.count() <= send else late, "id", "left_anti").select("id", "n", "g")
+    prefix = written(kept.union(put), "dedup-joined")
+    shared = prefix.groupBy("g").agg(F.count("*").alias("f")).where("f > 1").select("g")
+    prefix = prefix.join(shared, "g", "left_semi")
     b = prefix.select("g", F.col("id").alias("j"), F.col("n").alias("m"))
     near = F.least("n", "m") >= F.lit(jaccard) * F.greatest("n", "m")
     met = prefix.select("g", F.col("id").alias("i"), "n").join(b, "g").where((F.col("i") < F.col("j")) & near).select("i", "j").distinct()
     return verify(met, sets, jaccard)
 
 
+def equal_runs(items: DataFrame, corpus: DataFrame, n: int, send: int = 2_000_000) -> DataFrame:
+    """``(id, doc_id, q_start, c_start)``: runs of n words that stand in an item (id, text) and in a document (doc_id, text).
+
+    Runs are joined on 128 bits of hashes. Of the corpus only the runs that
+    some item holds leave their task: their hashes are sent to all tasks, if
+    they are no more than ``send``, and joined by shuffle otherwise.
+    """
+
+    def runs(t: DataFrame, key: str, at: str) -> DataFrame:
+        w = t.select(key, T.ascii_words(F.col("text")).alias("w")).where(F.size("w") >= n)
+        both = F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.xxhash64(g).alias("g"), F.xxhash64(F.lit(n), g).alias("k")))
+        return w.select(key, F.posexplode(both).alias(at, "x")).select(key, at, "x.g", "x.k")
+
+    q = written(runs(items, "id", "q_start"), "run-items")
+    wanted = written(q.select("g").distinct(), "run-hashes")
+    wanted = F.broadcast(wanted) if wanted.count() <= send else wanted
+    hits = runs(corpus, "doc_id", "c_start").join(wanted, "g", "left_semi")
+    return hits.join(q, ["g", "k"]).select("id", "doc_id", "q_start", "c_start")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``(i, j, jaccard)`` of the pairs whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("id").alias("i"), F.col("sh").alias("a")), "i").join(sets.select(F.col("id").alias("j"), F.col("sh").alias("b")), "j")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,7 +81,11 @@ def weights_at(schedule: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def allocate(weights: list[float], names: list[str], n: int, carry: list[float]) -> tuple[list[int], list[float]]:
-    """Whole counts that sum to n, and what is carried on: largest remainders first, ties by name."""
+    """Whole counts that sum to n, and what is carried on: largest remainders first, ties by name.
+
+    Where a slice owes more than the step can take back, the others give one
+    each in turn, least remainder first, so that the counts still sum to n.
+    """
     desired = [w * n + c for w, c in zip(weights, carry)]
     counts = [max(0, int(x // 1)) for x in desired]
     left = n - sum(counts)
@@ -89,10 +94,12 @@ def allocate(weights: list[float], names: list[str], n: int, carry: list[float])
     while left > 0:
         counts[order[k % len(order)]] += 1
         left, k = left - 1, k + 1
-    for i in sorted(range(len(names)), key=lambda i: (desired[i] - counts[i], names[i])):
-        while left < 0 and counts[i] > 0:
-            counts[i] -= 1
-            left += 1
+    order = sorted(range(len(names)), key=lambda i: (desired[i] - counts[i], names[i]))
+    while left < 0:
+        for i in order:
+            if left < 0 and counts[i] > 0:
+                counts[i] -= 1
+                left += 1
     return counts, [d - c for d, c in zip(desired, counts)]
 
 
@@ -134,37 +141,46 @@ def interleave(counts: DataFrame) -> DataFrame:
     return x.select("schedule_name", "step", slot.alias("slot"), "slice", "ordinal")
 
 
-def pool_plan(counts: DataFrame, shards: DataFrame, seq: int) -> DataFrame:
+def pool_plan(counts: DataFrame, shards: DataFrame, seq: int, strict: bool = False) -> DataFrame:
     """``(schedule_name, slice, step, count, epoch, shard, pos)``: where each step reads its contiguous block.
 
     ``shards``: slice, shard, n_tokens. A block of n sequences needs n seq + 1
     tokens; if the shard has fewer left, reading goes on with the next shard,
-    wrapping around. One fold per slice over the steps of a run. A block longer
-    than every shard has null positions.
+    wrapping around. One fold per slice over the steps of a run, to which the
+    slice's shards are sent once; a slice without shards has no plan. A block
+    longer than every shard is an error if ``strict``, and has null positions
+    otherwise.
     """
-    per = shards.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("shard", "n_tokens"))).alias("files"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        files, out = pdf["files"].iloc[0], []
+    def run(steps: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        files = files.sort_values("shard")
+        names, lengths = files["shard"].tolist(), files["n_tokens"].astype("int64").tolist()
+        return pd.DataFrame(
+            [(slice_, name, *at) for (slice_, name), own in steps.groupby(["slice", "schedule_name"]) if names for at in follow(own, names, lengths)],
+            columns=["slice", "schedule_name", "step", "count", "epoch", "shard", "pos"],
+        )
+
+    def follow(own: pd.DataFrame, names: list, lengths: list[int]) -> Iterator[tuple]:
         pos = shard = epoch = 0
-        lengths = [int(f["n_tokens"]) for f in files]
-        for step, n in sorted(zip(pdf["step"], pdf["count"])):
+        for step, n in sorted(zip(own["step"], own["count"])):
             need = int(n) * seq + 1
             if not n:
                 continue
             if need > max(lengths):
-                out.append((step, n, None, None, None))
+                if strict:
+                    raise ValueError(f"step {step}: a block of {need} tokens is longer than every shard of the slice")
+                yield step, n, None, None, None
                 continue
             while pos + need > lengths[shard]:
                 shard, pos = shard + 1, 0
                 if shard == len(lengths):
                     shard, epoch = 0, epoch + 1
-            out.append((step, n, epoch, files[shard]["shard"], pos))
+            yield step, n, epoch, names[shard], pos
             pos += int(n) * seq
-        o = pd.DataFrame(out, columns=["step", "count", "epoch", "shard", "pos"])
-        return o.assign(schedule_name=pdf["schedule_name"].iloc[0], slice=pdf["slice"].iloc[0])
 
-    return counts.join(per, "slice").groupBy("schedule_name", "slice").applyInPandas(run, "schedule_name string, slice string, step bigint, count int, epoch bigint, shard bigint, pos bigint")
+    plan = "slice string, schedule_name string, step bigint, count int, epoch bigint, shard bigint, pos bigint"
+    grouped = counts.select("slice", "schedule_name", "step", "count").groupBy("slice")
+    return grouped.cogroup(shards.select("slice", "shard", "n_tokens").groupBy("slice")).applyInPandas(run, plan).select("schedule_name", "slice", "step", "count", "epoch", "shard", "pos")
 
 
 def pack_documents(docs: DataFrame, per_rank: int, max_len: int) -> DataFrame:

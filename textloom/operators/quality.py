@@ -20,8 +20,8 @@ THRESHOLDS = {
 }
 
 
-def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The metrics of each text, one projection over the scan.
+def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The metrics of each text, one projection over the scan, with the columns ``carry`` beside them.
 
     Null texts count as empty; an empty text has 0 everywhere, alpha_ratio 0
     and no sentence. ``sentence_words`` is infinite where no sentence ends.
@@ -41,6 +41,7 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.regexp_count(t, F.lit(T.SENTENCE_END)).alias("n_sentences"),
         t.rlike(T.RESIDUAL).alias("residual_boilerplate"),
         F.substring(t, 1, 4000).rlike(T.AUDIOBOOK).alias("audiobook_metadata"),
+        *carry,
     )
     one = lambda c: F.greatest(c, F.lit(1))
     n_lines = one(F.size("ls"))
@@ -59,6 +60,7 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_sentences",
         F.when(F.col("n_sentences") > 0, F.size("ws") / F.col("n_sentences")).otherwise(F.lit(float("inf"))).alias("sentence_words"),
         T.ratio(letters, F.size("ws")).alias("mean_word_len"),
+        *carry,
     )
 
 
@@ -71,7 +73,7 @@ def reasons(m: dict[str, float] | None = None) -> Column:
     width = F.when(F.col("sentence_words") == float("inf"), F.lit("inf")).otherwise(F.format_string("%.1f", sw))
     return F.array_compact(
         F.array(
-            F.when(F.col("residual_boilerplate"), F.lit("residual_license")),
+            F.when(F.col("residual_boilerplate"), F.lit("residual_gutenberg_license")),
             F.when(F.col("audiobook_metadata"), F.lit("audiobook_metadata")),
             F.when(F.col("n_chars") < t["min_chars"], F.format_string("too_short(%d)", F.col("n_chars"))),
             tell(F.col("digit_ratio") > t["max_digit_ratio"], "digit_ratio(%.3f)", "digit_ratio"),

@@ -80,9 +80,18 @@ def infilling_case(s, d):
     return doc_words(s, d).select("doc_id", F.md5(p).alias("prompt"), F.md5(t).alias("target"))
 
 
-@query()
+_PLAIN = "q"
+for _old, _new in C.PLAIN.items():
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?i)\\b{_old}\\b', '{_new}', 'g')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[;:]', '. ', 'g'), '{_SP}+[–—]{_SP}+', '. ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, text, regexp_replace(regexp_replace(t, '\\([^\\n]*?\\)', '', 'g'), '(?i),{_SP}+(?:{C.CLAUSES})\\b[^.]*', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, text, array_to_string(list_transform(string_split(regexp_replace(t, '([.!?]{_SP}+)([A-Z])', '\\1' || chr(63743) || '\\2', 'g'), chr(63743)), lambda x, i: CASE WHEN i > 1 THEN lower(x[1]) || x[2:] ELSE x END), '') AS q FROM b),
+e AS (SELECT doc_id, text, regexp_replace({_PLAIN}, '{_SP}{{2,}}', ' ', 'g') AS t FROM c)
+SELECT doc_id, md5(regexp_replace(t, '^{_SP}+|{_SP}+$', '', 'g')) AS prompt, md5(text) AS target FROM e""")
 def restoration_case(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", C.degraded(F.col("text")).alias("prompt"), F.col("text").alias("target"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(C.degraded(F.col("text"))).alias("prompt"), F.md5("text").alias("target"))
 
 
 @query()
@@ -123,10 +132,8 @@ def vector_mean(s, d):
 @query("""WITH e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
 SELECT a.i - 1 AS i, b.i - 1 AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")
 def vector_covariance(s, d):
-    """Upper triangle of the sample covariance; pairs are made within a row, not by a join."""
-    e = table(s, d, "embeddings").select(F.posexplode("embedding").alias("i", "x"), "embedding")
-    p = e.select("i", F.col("x").cast("double").alias("x"), F.posexplode("embedding").alias("j", "y")).where("i <= j")
-    return p.groupBy("i", "j").agg(F.round(F.covar_samp("x", F.col("y").cast("double")), 6).alias("cov"))
+    """Upper triangle of the sample covariance, from the Gram matrices of the tasks."""
+    return C.covariance(table(s, d, "embeddings"), "embedding").select("i", "j", F.round("cov", 6).alias("cov"))
 
 
 @query("""WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2)

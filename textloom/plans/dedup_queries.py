@@ -93,17 +93,13 @@ def sparse_size_pairs(s, d):
 
 @query()
 def dedup_clusters(s, d):
-    keep = verdicts(s, d).select("doc_id", "keep")
-    docs = table(s, d, "documents").select("doc_id", "text").join(keep, "doc_id")
-    r = D.near_dedup(docs, F.col("keep"))
+    r = D.near_dedup(verdicts(s, d, ("text",)).select("doc_id", "text", "keep"), F.col("keep"))
     return r.where("role = 'loser'").groupBy(F.col("representative").alias("rep_id")).agg(F.count("*").alias("losers"), F.array_sort(F.collect_set("id")).alias("loser_ids"))
 
 
 @query()
 def near_dedup(s, d):
-    keep = verdicts(s, d).select("doc_id", "keep")
-    docs = table(s, d, "documents").select("doc_id", "text").join(keep, "doc_id")
-    return D.near_dedup(docs, F.col("keep")).select(F.col("id").alias("doc_id"), "role", "representative")
+    return D.near_dedup(verdicts(s, d, ("text",)).select("doc_id", "text", "keep"), F.col("keep")).select(F.col("id").alias("doc_id"), "role", "representative")
 
 
 CONTRAST_SQL = """
@@ -142,13 +138,8 @@ h AS (SELECT id, doc_id, q_start, c_start FROM qg JOIN cg ON qg.g = cg.g)
 
 def matches(s, d, n=12):
     """``(id, doc_id, q_start, c_start)``: equal runs of n words of passages and documents."""
-
-    def grams(t, key, at):
-        w = t.select(key, T.ascii_words(F.col("text")).alias("w")).where(F.size("w") >= n)
-        return w.select(key, F.posexplode(T.ngrams(F.col("w"), n)).alias(at, "g"))
-
     p = table(s, d, "passages").where("text is not null").select("id", "text").distinct()
-    return grams(p, "id", "q_start").join(grams(table(s, d, "documents").where("text is not null"), "doc_id", "c_start"), "g")
+    return D.equal_runs(p, table(s, d, "documents").where("text is not null"), n)
 
 
 @query(MATCH_SQL + "SELECT id, doc_id, count(*) AS hits, min(q_start) AS first_q, min(c_start) AS first_c FROM h GROUP BY 1, 2")

@@ -170,21 +170,25 @@ def cum_lengths(s, d):
 
 _VOCAB = 50304 * 15 // 2
 BIGRAM_SQL = f"""
-WITH t AS (SELECT doc_id, i AS pos, ascii(substring(text, i, 1)) AS cur, CASE WHEN i > 1 THEN ascii(substring(text, i - 1, 1)) END AS prev FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-h AS (SELECT doc_id, CASE WHEN prev IS NULL THEN {_VOCAB - 1} ELSE xor(36313 * cur, 27191 * prev) % {_VOCAB - 1} END AS h, CASE WHEN prev IS NULL THEN 0 ELSE xor(prev, cur) % 8192 END AS g FROM t WHERE cur < 1000 AND coalesce(prev, 0) < 1000)
+WITH t AS (SELECT doc_id, i AS pos, unicode(substring(text, i, 1)) AS cur, CASE WHEN i > 1 THEN unicode(substring(text, i - 1, 1)) END AS prev FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT doc_id, CASE WHEN prev IS NULL THEN {_VOCAB - 1} ELSE xor(36313 * cur, 27191 * prev) % {_VOCAB - 1} END AS h, CASE WHEN prev IS NULL THEN 0 ELSE xor(prev, cur) % 8192 END AS g FROM t WHERE cur < 50304 AND coalesce(prev, 0) < 50304)
 SELECT doc_id, CAST(sum(h) AS BIGINT) AS hash_sum, CAST(sum(g) AS BIGINT) AS sign_sum, count(*) AS n FROM h GROUP BY doc_id
 """
 
 
 @query(BIGRAM_SQL)
 def bigram_hash(s, d):
-    """Hashes and sign indexes of neighbouring ids; characters below 1000 stand for ids."""
-    t = table(s, d, "documents").where("text is not null").select("doc_id", F.split("text", "").alias("c"))
-    ids = t.select("doc_id", F.posexplode(F.transform(F.filter("c", lambda x: x != ""), lambda x: F.ascii(x))).alias("pos", "cur"))
-    p = ids.withColumn("prev", F.lag("cur").over(Window.partitionBy("doc_id").orderBy("pos"))).where("cur < 1000 and coalesce(prev, 0) < 1000")
-    h = F.when(F.col("pos") == 0, F.lit(_VOCAB - 1)).otherwise(F.pmod((F.col("cur") * 36313).bitwiseXOR(F.col("prev") * 27191), F.lit(_VOCAB - 1)))
-    g = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.pmod(F.col("prev").bitwiseXOR(F.col("cur")), F.lit(8192)))
-    return p.groupBy("doc_id").agg(F.sum(h).cast("bigint").alias("hash_sum"), F.sum(g).cast("bigint").alias("sign_sum"), F.count("*").alias("n"))
+    """Hashes and sign indexes of neighbouring ids; characters stand for ids, those beyond the vocabulary of 50,304 are passed over."""
+    t = table(s, d, "documents").where("text is not null and text <> ''")
+    ids = F.transform(F.filter(F.split("text", ""), lambda x: x != ""), lambda x: F.ascii(x))
+    known = lambda x: x.between(0, 50303)
+    h = lambda c, p: F.when(p == -1, F.lit(_VOCAB - 1)).otherwise(F.pmod((c * 36313).bitwiseXOR(p * 27191), F.lit(_VOCAB - 1)))
+    g = lambda c, p: F.when(p == -1, F.lit(0)).otherwise(F.pmod(p.bitwiseXOR(c), F.lit(8192)))
+    # -1 stands before the first; a pair with an id beyond the vocabulary is null.
+    before = t.select("doc_id", ids.alias("c")).select("doc_id", "c", F.concat(F.array(F.lit(-1)), F.slice("c", F.lit(1), F.size("c") - 1)).alias("p"))
+    pairs = F.filter(F.arrays_zip("c", "p"), lambda x: known(x["c"]) & ((x["p"] == -1) | known(x["p"])))
+    add = lambda f: F.aggregate("x", F.lit(0).cast("bigint"), lambda a, x: a + f(x["c"], x["p"]))
+    return before.select("doc_id", pairs.alias("x")).where(F.size("x") > 0).select("doc_id", add(h).alias("hash_sum"), add(g).alias("sign_sum"), F.size("x").cast("bigint").alias("n"))
 
 
 @query("""SELECT doc_id, n, len(w) AS windows, coalesce(list_last(w), -1) AS last_start FROM (SELECT doc_id, n_chars + 1 AS n,
@@ -223,14 +227,14 @@ def slice_shards(s, d):
 
 @query()
 def slice_pool_plan(s, d):
-    return X.pool_plan(counts(s, d), slice_shards(s, d), SEQ)
+    return X.pool_plan(counts(s, d), slice_shards(s, d), SEQ, strict=True)
 
 
 @query()
 def mixed_batches(s, d):
     """Each row of each batch: its slot, slice, shard and token position."""
     c = written(counts(s, d), "counts")
-    plan = X.pool_plan(c, slice_shards(s, d), SEQ)
+    plan = X.pool_plan(c, slice_shards(s, d), SEQ, strict=True)
     return X.interleave(c).join(plan, ["schedule_name", "step", "slice"]).select("schedule_name", "step", "slot", "slice", "epoch", "shard", (F.col("pos") + F.col("ordinal") * SEQ).alias("pos"))
 
 

@@ -11,6 +11,7 @@ from textloom.operators import bpe as B
 from textloom.plans.registry import query
 from textloom.scratch import shared_folder, written
 from textloom.sources import shards, texts
+from textloom.streaming.trajectories import last_per_step
 from textloom.tables import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -50,8 +51,8 @@ def token_shards(s, d):
     """Tokens cut into shards, written in the shard format and read back."""
     shards.register(s)
     folder = f"{shared_folder(s)}/textloom/shards-{uuid.uuid4().hex}"
-    made = B.to_shards(written(B.tokenize(table(s, d, "documents"), vocabulary()), "tokens"), 50_000)
-    made.write.format("token_shard").mode("append").save(folder)
+    made = B.shard_pieces(written(B.tokenize(table(s, d, "documents"), vocabulary()), "tokens"), 50_000)
+    made.select("shard", "tokens").write.format("token_shard").mode("append").save(folder)
     r = s.read.format("token_shard").load(folder)
     eot = F.size(F.filter("tokens", lambda t: t == B.EOT))
     return r.groupBy("name").agg(F.max("n_tokens").alias("n_tokens"), F.sum(F.size("tokens")).alias("read_tokens"), F.sum(eot).alias("documents"))
@@ -104,7 +105,8 @@ def stream_tumbling(s, d):
     """Daily windows of the event stream; open windows are closed by a run's end, so the state is read by update batches."""
     ev = _stream(s, d, "events")
     at = f"{shared_folder(s)}/textloom/stream-{uuid.uuid4().hex}"
-    agg = ev.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count("*").alias("n"))
+    # State is kept for the windows of 60 days; what comes later than that is dropped.
+    agg = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
 
     def keep(batch, k):
         batch.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.lit(k).alias("batch")).write.mode("append").parquet(f"{at}/rows")
@@ -121,6 +123,21 @@ def stream_last_wins(s, d):
     return _sunk(s, seen, "run_id string, step bigint").groupBy("run_id").agg(F.count("*").alias("steps"))
 
 
+@query("""SELECT run_id, step, round(val_loss, 6) AS val_loss, epoch_us(logged_at) AS logged_us FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY logged_at DESC NULLS LAST, received_at DESC NULLS LAST, val_loss DESC NULLS LAST) AS k FROM run_steps WHERE run_id IS NOT NULL AND step IS NOT NULL) WHERE k = 1""")
+def stream_last_readings(s, d):
+    """The last reading of each step of the run stream; the state is a row per step of the runs in it."""
+    at = f"{shared_folder(s)}/textloom/stream-{uuid.uuid4().hex}"
+    last = last_per_step(_stream(s, d, "run_steps").where("run_id is not null and step is not null"))
+
+    def keep(batch, k):
+        batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{at}/rows")
+
+    last.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.schema("run_id string, step bigint, val_loss double, logged_at timestamp, batch bigint").parquet(f"{at}/rows")
+    newest = rows.groupBy("run_id", "step").agg(F.max_by(F.struct("val_loss", "logged_at"), "batch").alias("x"))
+    return newest.select("run_id", "step", F.round("x.val_loss", 6).alias("val_loss"), F.unix_micros("x.logged_at").alias("logged_us"))
+
+
 @query()
 def corpus_build(s, d):
     """The whole corpus build, summarised by slice."""

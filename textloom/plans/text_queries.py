@@ -55,8 +55,8 @@ RATIOS = ("alpha_ratio", "digit_ratio", "upper_ratio", "short_line_frac", "dup_l
 _R = ", ".join(f"round({c}, 6) AS {c}" for c in RATIOS)
 
 
-def metrics(s, d):
-    return Q.quality_metrics(table(s, d, "documents"))
+def metrics(s, d, carry=()):
+    return Q.quality_metrics(table(s, d, "documents"), carry=carry)
 
 
 @query(f"WITH {METRICS_SQL} SELECT doc_id, n_chars, n_words, n_sentences, {_R}, CASE WHEN isinf(sentence_words) THEN NULL ELSE round(sentence_words, 6) END AS sentence_words, residual_boilerplate, audiobook_metadata FROM m")
@@ -68,15 +68,15 @@ def quality_metrics(s, d):
 
 VERDICT_SQL = f"""
 WITH {METRICS_SQL}, v AS (SELECT *, list_filter([
-  CASE WHEN residual_boilerplate THEN 'residual_license' END, CASE WHEN audiobook_metadata THEN 'audiobook_metadata' END, CASE WHEN n_chars < 200 THEN 'too_short' END,
+  CASE WHEN residual_boilerplate THEN 'residual_gutenberg_license' END, CASE WHEN audiobook_metadata THEN 'audiobook_metadata' END, CASE WHEN n_chars < 200 THEN 'too_short' END,
   CASE WHEN n_chars > 0 AND digit_ratio > 0.05 THEN 'digit_ratio' END, CASE WHEN n_chars > 0 AND alpha_ratio < 0.8 THEN 'alpha_ratio' END,
   CASE WHEN n_chars > 0 AND dup_line_frac > 0.32 THEN 'dup_lines' END, CASE WHEN n_chars > 0 AND upper_ratio > 0.14 THEN 'upper_ratio' END,
   CASE WHEN n_chars = 0 OR sentence_words < 5 THEN 'short_sentences' END, CASE WHEN n_chars > 0 AND sentence_words > 90 THEN 'no_sentences' END], lambda x: x IS NOT NULL) AS kinds FROM m)
 """
 
 
-def verdicts(s, d):
-    v = Q.quality_verdict(metrics(s, d), SMALL)
+def verdicts(s, d, carry=()):
+    v = Q.quality_verdict(metrics(s, d, carry), SMALL)
     return v.withColumn("kinds", F.transform("reasons", lambda x: F.regexp_replace(x, r"\(.*", "")))
 
 
@@ -136,10 +136,10 @@ def shingle_count(s, d):
     return w.select("doc_id", F.size(F.array_distinct(T.ngrams(F.col("w"), 5))).cast("bigint").alias("shingles"))
 
 
-@query("""SELECT tok AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok FROM documents) GROUP BY tok HAVING count(*) >= 5""")
+@query("""SELECT tok AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok FROM documents) GROUP BY tok""")
 def word_freq(s, d):
     w = table(s, d, "documents").select(F.explode(T.ascii_words(F.col("text"))).alias("token"))
-    return w.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5")
+    return w.groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -148,16 +148,12 @@ def pretokenize(s, d):
     return t.select("doc_id", F.size("pieces").alias("n_pieces"), (F.length(F.array_join("pieces", "")) == F.col("n_chars")).alias("lossless"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_AW} AS w FROM documents), n AS (SELECT unnest([3, 4, 5, 6, 7, 8]) AS n),
+@query(f"""WITH w AS (SELECT doc_id, {_AW} AS w FROM documents), n AS (SELECT unnest(range(3, 13)) AS n),
 g AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, n WHERE len(w) >= n)),
 c AS (SELECT doc_id, n, g, count(*) AS k FROM g GROUP BY doc_id, n, g HAVING count(*) >= 2), m AS (SELECT doc_id, max(n) AS n FROM c GROUP BY doc_id)
-SELECT c.doc_id, c.n, max(c.k) AS occurrences FROM c JOIN m ON m.doc_id = c.doc_id AND m.n = c.n GROUP BY c.doc_id, c.n""")
+SELECT c.doc_id, CAST(c.n AS INT) AS n, max(c.k) AS occurrences FROM c JOIN m ON m.doc_id = c.doc_id AND m.n = c.n GROUP BY c.doc_id, c.n""")
 def longest_repeat(s, d):
+    """The longest run of 3 to 12 words that a text repeats, and how often the commonest of that length stands in it."""
     w = table(s, d, "documents").select("doc_id", T.ascii_words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = None
-    for n in range(3, 9):
-        g = w.where(F.size("w") >= n).select("doc_id", F.lit(n).alias("n"), F.explode(F.transform(T.ngrams(F.col("w"), n), lambda x: F.xxhash64(x))).alias("g"))
-        grams = g if grams is None else grams.union(g)
-    c = grams.groupBy("doc_id", "n", "g").agg(F.count("*").alias("k")).where("k >= 2")
-    best = c.groupBy("doc_id").agg(F.max(F.struct("n", "k")).alias("b"))
-    return best.select("doc_id", "b.n", F.col("b.k").alias("occurrences"))
+    best = w.select("doc_id", T.longest_repeat(F.col("w"), 3, 12).alias("b")).where("b is not null")
+    return best.select("doc_id", "b.n", F.col("b.k").cast("bigint").alias("occurrences"))

@@ -3,15 +3,19 @@
 ``spark.read.format("token_shard").load(folder)`` and
 ``df.write.format("token_shard").save(folder)``. Reading yields rows of at most
 ``chunk`` tokens, so a task never holds a whole shard; writing takes rows
-(shard, tokens), one file per shard, and a task writes its shard's rows in order.
+(shard, tokens), one file per shard, in which the shard's rows follow one another
+as they come. A shard's rows must come together and in one task; a shard that
+comes twice is an error. Files get their names when the whole job commits, so
+that failed and repeated attempts leave none.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -84,24 +88,44 @@ class ShardWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         system, root = _fs(self.path)
         system.create_dir(root, recursive=True)
-        files = []
-        for r in rows:
-            t = np.asarray(r["tokens"], np.int64)
-            if len(t) and (t.min() < 0 or t.max() >= 1 << 16):
-                raise ValueError("a token id needs more than 16 bits")
-            data = header(len(t)) + t.astype("<u2").tobytes()
-            name = f"{self.prefix}_{r['shard']:06d}.bin"
-            with system.open_output_stream(f"{root}/{name}.tmp") as f:
-                f.write(data)
-            system.move(f"{root}/{name}.tmp", f"{root}/{name}")
-            files.append((name, len(t), hashlib.sha256(data).hexdigest()))
+        files, seen = [], set()
+        for shard, own in groupby(rows, key=lambda r: r["shard"]):
+            name = f"{self.prefix}_{shard:06d}.bin"
+            if shard in seen:
+                raise ValueError(f"the rows of shard {shard} don't come together")
+            seen.add(shard)
+            # The header wants the length first: a shard's payload, whose size is fixed, is held as bytes.
+            parts = [_payload(r["tokens"]) for r in own]
+            n = sum(map(len, parts)) // 2
+            temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(temporary) as f:
+                f.write(header(n))
+                for part in parts:
+                    f.write(part)
+            files.append((name, temporary, n))
         return Written(files)
 
     def commit(self, messages: list) -> None:
-        pass
+        system, root = _fs(self.path)
+        files = [f for m in messages if m for f in m.files]
+        if len({name for name, _, _ in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("a shard was written by two tasks")
+        for name, temporary, _ in files:
+            system.move(temporary, f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
-        pass
+        system, _ = _fs(self.path)
+        for m in messages:
+            for _, temporary, _ in m.files if m else ():
+                system.delete_file(temporary)
+
+
+def _payload(tokens: list[int] | None) -> bytes:
+    t = np.asarray(tokens if tokens is not None else [], np.int64)
+    if len(t) and (t.min() < 0 or t.max() >= 1 << 16):
+        raise ValueError("a token id needs more than 16 bits")
+    return t.astype("<u2").tobytes()
 
 
 class TokenShards(DataSource):
