@@ -45,3 +45,16 @@ def test_longest_repeat(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
     got = {r["i"]: r["b"] and tuple(r["b"]) for r in df.select("i", T.longest_repeat(T.ascii_words(F.col("t")), 3, 12).alias("b")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
+def test_run_hashes_are_those_of_the_runs(spark):
+    words = "a b c a b c d e f g h i j k l a b".split()
+    df = spark.createDataFrame([(words[:k],) for k in range(len(words) + 1)], "w array<string>")
+    for n in (1, 2, 3, 5, 7, 12):
+        seen = {}
+        for r in df.select("w", T.run_hashes(F.col("w"), n).alias("h")).collect():
+            runs = [tuple(r["w"][i : i + n]) for i in range(len(r["w"]) - n + 1)]
+            assert len(r["h"]) == max(0, len(runs))
+            for x, h in zip(runs, r["h"]):
+                assert seen.setdefault(x, h) == h
+        assert len(set(seen.values())) == len(seen)

@@ -43,6 +43,34 @@ def ngrams(words: Column, n: int) -> Column:
     return bound(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(grams(w)))
 
 
+def run_hashes(words: Column, n: int, seed: int = 0) -> Column:
+    """64-bit hashes of the runs of n consecutive words, in order; empty if there are fewer.
+
+    Words are hashed once, and runs of a and of b words are put together into
+    runs of a + b, by doubling, so that a run costs about log n steps and no string.
+    """
+
+    def together(x: Column, y: Column, a: int, b: int) -> Column:
+        s = F.size(x) - b
+        return F.zip_with(F.slice(x, F.lit(1), s), F.slice(y, F.lit(a + 1), s), lambda p, q: F.xxhash64(p, q))
+
+    def grown(have: Column, a: int, total: Column | None, t: int) -> Column:
+        """``have``: runs of a; ``total``: runs of t, of the low bits of n so far."""
+        if n & a:
+            if total is None:
+                return bound(have, lambda h: grown_on(h, a, h, a))
+            return bound(together(have, total, a, t), lambda x: grown_on(have, a, x, a + t))
+        return grown_on(have, a, total, t)
+
+    def grown_on(have: Column, a: int, total: Column | None, t: int) -> Column:
+        if t == n:
+            return total
+        return bound(together(have, have, a, a), lambda h: grown(h, 2 * a, total, t))
+
+    one = F.transform(words, lambda w: F.xxhash64(F.lit(seed), w))
+    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(bound(one, lambda h: grown(h, 1, None, 0)))
+
+
 def longest_repeat(words: Column, least: int, most: int) -> Column:
     """``(n, k)``: the greatest n from ``least`` to ``most`` of which a run of n words comes twice, and how often
     the commonest does; null if none. Longer runs are tried first, within the row.
@@ -58,12 +86,16 @@ def longest_repeat(words: Column, least: int, most: int) -> Column:
         return F.aggregate(F.array_sort(h), none, step, lambda a: a["best"])
 
     def tried(n: int) -> Column:
-        hashes = F.transform(ngrams(words, n), lambda g: F.xxhash64(g))
-        return bound(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), F.struct(F.lit(n).alias("n"), times(h).alias("k"))))
+        return bound(run_hashes(words, n), lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), F.struct(F.lit(n).alias("n"), times(h).alias("k"))))
 
     return F.coalesce(*[tried(n) for n in range(most, least - 1, -1)])
 
 
+def repeats(words: Column, n: int) -> Column:
+    """True if some run of n words comes twice; only then can a longer one."""
+    return bound(run_hashes(words, n), lambda h: F.size(h) > F.size(F.array_distinct(h)))
+
+
 def strip_boilerplate(text: Column) -> Column:
     """The text between the first start marker and the first end marker, each optional, stripped.
 

@@ -25,7 +25,7 @@ JACCARD, FLOOR, SPARSE, PRIME = 0.80, 0.50, 8, (1 << 61) - 1
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, sh)``: sorted distinct hashes of five words, for texts of at least 20 words."""
     w = docs.select(F.col(id_col).alias("id"), T.ascii_words(F.coalesce(text_col, F.lit(""))).alias("w")).where(F.size("w") >= SHINGLE * 4)
-    grams = F.transform(T.ngrams(F.col("w"), SHINGLE), lambda g: F.xxhash64(g))
+    grams = T.run_hashes(F.col("w"), SHINGLE)
     return w.select("id", F.array_sort(F.array_distinct(grams)).alias("sh"))
 
 
@@ -134,7 +134,7 @@ def equal_runs(items: DataFrame, corpus: DataFrame, n: int, send: int = 2_000_00
 
     def runs(t: DataFrame, key: str, at: str) -> DataFrame:
         w = t.select(key, T.ascii_words(F.col("text")).alias("w")).where(F.size("w") >= n)
-        both = F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.xxhash64(g).alias("g"), F.xxhash64(F.lit(n), g).alias("k")))
+        both = F.arrays_zip(T.run_hashes(F.col("w"), n).alias("g"), T.run_hashes(F.col("w"), n, 1).alias("k"))
         return w.select(key, F.posexplode(both).alias(at, "x")).select(key, at, "x.g", "x.k")
 
     q = written(runs(items, "id", "q_start"), "run-items")
@@ -144,6 +144,14 @@ def equal_runs(items: DataFrame, corpus: DataFrame, n: int, send: int = 2_000_00
     return hits.join(q, ["g", "k"]).select("id", "doc_id", "q_start", "c_start")
 
 
+def assert_clean(items: DataFrame, corpus: DataFrame, n: int = 12) -> None:
+    """RuntimeError with the number of matches and the first of them, if any item shares a run of n words with the corpus."""
+    hits = written(equal_runs(items, corpus, n), "run-hits")
+    if not hits.isEmpty():
+        first = hits.orderBy("id", "doc_id", "q_start", "c_start").first()
+        raise RuntimeError(f"{hits.count()} runs of {n} words stand in the corpus; the first: item {first['id']!r} at {first['q_start']} in document {first['doc_id']!r} at {first['c_start']}")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``(i, j, jaccard)`` of the pairs whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("id").alias("i"), F.col("sh").alias("a")), "i").join(sets.select(F.col("id").alias("j"), F.col("sh").alias("b")), "j")

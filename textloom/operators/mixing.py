@@ -222,3 +222,64 @@ def pack_tasks(tasks: DataFrame, seq_len: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["item", "sequence", "offset"]).assign(rank=pdf["rank"].iloc[0])
 
     return tasks.groupBy("rank").applyInPandas(fold, "rank int, item string, sequence int, offset bigint")
+
+
+def strided_batches(shards: DataFrame, ranks: int, row: int) -> DataFrame:
+    """``(shard, batch, rank, pos)`` of a loader whose ranks read ``row`` tokens each, side by side.
+
+    ``shards``: shard, n_tokens. A step needs ranks * row + 1 tokens; what is
+    left of a shard then is passed over, and a shard shorter than a step gives
+    nothing. A closed form, a row per shard before it is exploded.
+    """
+    step = ranks * row
+    b = shards.where(F.col("n_tokens") >= step + 1).select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / step) - 1)).alias("batch"))
+    r = b.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    return r.select("shard", "batch", "rank", ((F.col("batch") * ranks + F.col("rank")) * row).alias("pos"))
+
+
+def pool_skip(shards: DataFrame, skips: DataFrame) -> DataFrame:
+    """``(slice, skipped, epoch, shard, pos)``: where each slice's pool stands after ``skipped`` tokens, without reading.
+
+    ``shards``: slice, shard, n_tokens, none of them empty; ``skips``: a small
+    table of ``skipped``. A position at a shard's end stays there until the next
+    reading moves on.
+    """
+    w = Window.partitionBy("slice").orderBy("shard")
+    c = shards.select("slice", "shard", "n_tokens", (F.sum("n_tokens").over(w) - F.col("n_tokens")).alias("before"), F.sum("n_tokens").over(Window.partitionBy("slice")).alias("total"))
+    j = c.join(F.broadcast(skips), F.lit(True))
+    none = F.col("skipped") == 0
+    at = F.when(none, 0).otherwise(F.pmod(F.col("skipped") - 1, F.col("total")) + 1)
+    epoch = F.when(none, 0).otherwise(F.floor((F.col("skipped") - 1) / F.col("total")))
+    here = (F.col("at") <= F.col("before") + F.col("n_tokens")) & ((F.col("at") > F.col("before")) | ((F.col("at") == 0) & (F.col("before") == 0)))
+    return j.withColumn("at", at).withColumn("epoch", epoch).where(here).select("slice", "skipped", "epoch", "shard", (F.col("at") - F.col("before")).alias("pos"))
+
+
+def pack_choices(tasks: DataFrame, ranks: int, seq_len: int) -> DataFrame:
+    """``(rank, sequence, item, offset, tokens, first_span_start, first_span_end)`` of tasks with one context and several endings.
+
+    ``tasks``: item, at (its place), ctx, ends (lengths). Rank r takes every
+    ``ranks``-th task; a task is each ending after its own copy of the context,
+    shifted by one, with a separator before every one but a sequence's first;
+    a sequence is closed before a task that would bring it to ``seq_len``. A
+    span is where the targets of an ending lie. A rank's share of an evaluation
+    set, whose size is fixed, is one group.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, used, seq = [], 0, 0
+        for _, item, ctx, ends in sorted(zip(pdf["at"], pdf["item"], pdf["ctx"], pdf["ends"]), key=lambda x: x[0]):
+            lengths = [int(e) for e in ends]
+            if used and used + len(lengths) * ctx + sum(lengths) >= seq_len:
+                used, seq = 0, seq + 1
+            begin = used
+            for k, n in enumerate(lengths):
+                used += bool(used)
+                if k == 0:
+                    span = used + int(ctx) - 1
+                used += int(ctx) + n - 1
+            rows.append((seq, item, begin, used - begin, span, span + lengths[0]))
+        out = pd.DataFrame(rows, columns=["sequence", "item", "offset", "tokens", "first_span_start", "first_span_end"])
+        return out.assign(rank=pdf["rank"].iloc[0])
+
+    t = tasks.withColumn("rank", F.pmod("at", F.lit(ranks)).cast("int"))
+    return t.groupBy("rank").applyInPandas(fold, "rank int, sequence int, item string, offset bigint, tokens bigint, first_span_start bigint, first_span_end bigint")

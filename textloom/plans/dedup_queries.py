@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -9,7 +10,7 @@ from textloom.operators import dedup as D
 from textloom.plans.registry import query
 from textloom.plans.text_queries import VERDICT_SQL, verdicts
 from textloom.scratch import written
-from textloom.tables import table
+from textloom.tables import spread, table
 
 SETS_SQL = """
 w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM documents),
@@ -21,7 +22,7 @@ e AS (SELECT i, j, c / (x.n + y.n - c) AS jaccard FROM p JOIN n x ON x.doc_id =
 
 
 def sets(s, d):
-    return D.shingle_sets(table(s, d, "documents"))
+    return D.shingle_sets(spread(table(s, d, "documents").select("doc_id", "text")))
 
 
 @query(f"""WITH {SETS_SQL}, k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM g GROUP BY doc_id), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM k),
@@ -47,7 +48,7 @@ def minhash_signature(s, d):
 
 def class_signatures(s, d):
     """Of passages, which hold close copies."""
-    _, reps = D.set_classes(D.shingle_sets(table(s, d, "passages").select("id", "text").dropDuplicates(["id"]), "id"))
+    _, reps = D.set_classes(D.shingle_sets(spread(table(s, d, "passages").select("id", "text").dropDuplicates(["id"])), "id"))
     reps = written(reps, "reps")
     return reps, written(D.signatures(reps), "signatures")
 
@@ -91,17 +92,38 @@ def sparse_size_pairs(s, d):
     return t.join(g, "id", "left").select("id", F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("first_partner", F.lit(-1)).alias("first_partner"))
 
 
-@query()
+# Greedy choice by (eligible, bytes, id): the nodes with links one by one, each a representative unless it touches one.
+MIS_SQL = VERDICT_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""", {SETS_SQL}, k AS (SELECT v.doc_id AS id, len(kinds) = 0 AS ok, strlen(coalesce(text, '')) AS bytes FROM v JOIN documents t ON t.doc_id = v.doc_id),
+s AS (SELECT i AS x, j AS y FROM e UNION ALL SELECT j, i FROM e), a AS (SELECT k.id, k.ok, row_number() OVER (ORDER BY ok DESC, bytes DESC, k.id) AS r, list(y) AS nb FROM k JOIN s ON s.x = k.id GROUP BY k.id, k.ok, k.bytes),
+gm(r, reps) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT a.r, CASE WHEN a.ok AND NOT list_has_any(gm.reps, a.nb) THEN list_append(gm.reps, a.id) ELSE gm.reps END FROM gm JOIN a ON a.r = gm.r + 1),
+reps AS (SELECT unnest(reps) AS id FROM gm WHERE r = (SELECT max(r) FROM gm)), lost AS (SELECT s.x AS id, arg_min(s.y, b.r) AS representative FROM s JOIN reps ON reps.id = s.y JOIN a b ON b.id = s.y WHERE s.x NOT IN (SELECT id FROM reps) GROUP BY s.x),
+roles AS (SELECT n.doc_id, CASE WHEN lost.id IS NOT NULL THEN 'loser' WHEN n.doc_id IN (SELECT representative FROM lost) THEN 'representative' ELSE 'kept' END AS role, representative FROM n LEFT JOIN lost ON lost.id = n.doc_id)
+"""
+
+
+@query(MIS_SQL + "SELECT representative AS rep_id, count(*) AS losers, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS loser_ids FROM roles WHERE role = 'loser' GROUP BY representative")
 def dedup_clusters(s, d):
     r = D.near_dedup(verdicts(s, d, ("text",)).select("doc_id", "text", "keep"), F.col("keep"))
-    return r.where("role = 'loser'").groupBy(F.col("representative").alias("rep_id")).agg(F.count("*").alias("losers"), F.array_sort(F.collect_set("id")).alias("loser_ids"))
+    return r.where("role = 'loser'").groupBy(F.col("representative").alias("rep_id")).agg(F.count("*").alias("losers"), F.array_join(F.array_sort(F.collect_set("id")).cast("array<string>"), ",").alias("loser_ids"))
 
 
-@query()
+@query(MIS_SQL + "SELECT doc_id, role, representative FROM roles")
 def near_dedup(s, d):
     return D.near_dedup(verdicts(s, d, ("text",)).select("doc_id", "text", "keep"), F.col("keep")).select(F.col("id").alias("doc_id"), "role", "representative")
 
 
+@query(MIS_SQL + """, l AS (SELECT gutenberg_id, prose_filter_pass FROM (SELECT *, row_number() OVER (PARTITION BY gutenberg_id ORDER BY line_no DESC, written_at DESC) AS q FROM manifest WHERE gutenberg_id IS NOT NULL) WHERE q = 1)
+SELECT t.doc_id, coalesce(role = 'loser', FALSE) AS is_near_duplicate, representative AS duplicate_of, coalesce(l.prose_filter_pass, k.ok) AS eligible FROM documents t JOIN k ON k.id = t.doc_id LEFT JOIN roles ON roles.doc_id = t.doc_id LEFT JOIN l ON l.gutenberg_id = t.source_id""")
+def duplicate_flags(s, d):
+    """The losers written back to the documents: what each repeats, and whether it may stand for others (the manifest's own verdict first)."""
+    v = verdicts(s, d, ("text",)).select("doc_id", "text", "keep")
+    r = D.near_dedup(v, F.col("keep")).select(F.col("id").alias("doc_id"), "role", "representative")
+    m = table(s, d, "manifest").where("gutenberg_id is not null").withColumn("q", F.row_number().over(Window.partitionBy("gutenberg_id").orderBy(F.desc("line_no"), F.desc("written_at")))).where("q = 1")
+    own = table(s, d, "documents").select("doc_id", F.col("source_id").alias("gutenberg_id")).join(m.select("gutenberg_id", "prose_filter_pass"), "gutenberg_id", "left")
+    j = own.join(v.select("doc_id", "keep"), "doc_id").join(r, "doc_id", "left")
+    return j.select("doc_id", F.coalesce(F.col("role") == "loser", F.lit(False)).alias("is_near_duplicate"), F.col("representative").alias("duplicate_of"), F.coalesce("prose_filter_pass", "keep").alias("eligible"))
+
+
 CONTRAST_SQL = """
 WITH p AS (SELECT DISTINCT id, text FROM passages WHERE id IS NOT NULL), b AS (SELECT id, min(text) AS text FROM p GROUP BY id),
 k AS (SELECT id, text, CASE WHEN id LIKE '%.contrast' THEN left(id, length(id) - 9) ELSE id END AS base, id LIKE '%.contrast' AS c FROM b)
@@ -139,7 +161,7 @@ h AS (SELECT id, doc_id, q_start, c_start FROM qg JOIN cg ON qg.g = cg.g)
 def matches(s, d, n=12):
     """``(id, doc_id, q_start, c_start)``: equal runs of n words of passages and documents."""
     p = table(s, d, "passages").where("text is not null").select("id", "text").distinct()
-    return D.equal_runs(p, table(s, d, "documents").where("text is not null"), n)
+    return D.equal_runs(p, spread(table(s, d, "documents").select("doc_id", "text").where("text is not null")), n)
 
 
 @query(MATCH_SQL + "SELECT id, doc_id, count(*) AS hits, min(q_start) AS first_q, min(c_start) AS first_c FROM h GROUP BY 1, 2")
@@ -152,6 +174,12 @@ def contamination_hits(s, d):
     return matches(s, d).groupBy("doc_id").agg(F.countDistinct("id").alias("items"), F.count("*").alias("hits"), F.min("id").alias("first_item"))
 
 
+@query(MATCH_SQL + "SELECT count(*) = 0 AS clean, count(*) AS hits, min(id) AS first_item, CAST(min(doc_id) AS BIGINT) AS first_doc FROM h")
+def contamination_verdict(s, d):
+    """What the guard of :func:`assert_clean` would say."""
+    return matches(s, d).agg((F.count("*") == 0).alias("clean"), F.count("*").alias("hits"), F.min("id").alias("first_item"), F.min("doc_id").alias("first_doc"))
+
+
 @query(VERDICT_SQL + "SELECT doc_id FROM v WHERE len(kinds) = 0")
 def quality_kept(s, d):
     return verdicts(s, d).where("keep").select("doc_id")

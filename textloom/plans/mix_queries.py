@@ -57,7 +57,17 @@ def counts(s, d):
     return X.allocation(X.weights_at(sched(s, d), steps(s)), BATCH)
 
 
-@query()
+# The fold over the steps: floors, then one each to the largest remainders (ties by name), and the rest carried on.
+ALLOC_SQL = f"""WITH RECURSIVE {WEIGHTS_SQL}, wl AS (SELECT schedule_name, step, list(weight ORDER BY slice) AS ws, list(slice ORDER BY slice) AS names FROM wt GROUP BY 1, 2),
+al(schedule_name, step, names, counts, carry) AS (SELECT DISTINCT schedule_name, CAST(-1 AS BIGINT), names, CAST([] AS BIGINT[]), list_transform(ws, lambda x: 0.0::DOUBLE) FROM wl WHERE step = 0
+UNION ALL SELECT schedule_name, step, names, counts, list_transform(range(1, len(ws) + 1), lambda i: want[i] - counts[i]) FROM (
+ SELECT *, list_transform(range(1, len(ws) + 1), lambda i: low[i] + CASE WHEN len(list_filter(range(1, len(ws) + 1), lambda j: want[j] - low[j] > want[i] - low[i] OR (want[j] - low[j] = want[i] - low[i] AND j < i))) < {BATCH} - list_sum(low) THEN 1 ELSE 0 END)::BIGINT[] AS counts FROM (
+  SELECT *, list_transform(want, lambda x: greatest(0, floor(x)))::BIGINT[] AS low FROM (SELECT wl.schedule_name, CAST(wl.step AS BIGINT) AS step, wl.names, ws, list_transform(range(1, len(ws) + 1), lambda i: ws[i] * {BATCH} + carry[i]) AS want FROM al JOIN wl ON wl.schedule_name = al.schedule_name AND wl.step = al.step + 1)))),
+ct AS (SELECT schedule_name, step, unnest(names) AS slice, CAST(unnest(counts) AS INT) AS count, unnest(carry) AS carry FROM al WHERE step >= 0)
+"""
+
+
+@query(ALLOC_SQL + "SELECT schedule_name, step, slice, count, round(carry, 6) AS carry FROM ct")
 def mix_allocation(s, d):
     return counts(s, d).withColumn("carry", F.round("carry", 6))
 
@@ -69,7 +79,7 @@ def mix_batch_exact(s, d):
     return per.groupBy("schedule_name").agg(F.count("*").cast("int").alias("steps"), F.sum("c").alias("sequences"), F.count(F.when(F.col("c") != BATCH, 1)).cast("int").alias("wrong_steps"))
 
 
-@query()
+@query(ALLOC_SQL + "SELECT schedule_name, step, slice, count, CAST(coalesce(sum(count) OVER (PARTITION BY schedule_name, slice ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor_before FROM ct")
 def mix_cursor(s, d):
     return X.cursors(counts(s, d)).select("schedule_name", "step", "slice", "count", "cursor_before")
 
@@ -87,7 +97,8 @@ def mix_interleave(s, d):
     return X.interleave(s.createDataFrame(rows, "schedule_name string, step int, slice string, count int"))
 
 
-@query()
+@query(ALLOC_SQL + """, t AS (SELECT *, sum(count) OVER (PARTITION BY schedule_name, step) AS total FROM ct WHERE count > 0), x AS (SELECT *, unnest(range(count)) AS ordinal FROM t)
+SELECT schedule_name, step, row_number() OVER (PARTITION BY schedule_name, step ORDER BY count - ordinal * (total - count) DESC, slice, ordinal) - 1 AS slot, slice, ordinal FROM x""")
 def mix_layout(s, d):
     return X.interleave(counts(s, d))
 
@@ -147,7 +158,11 @@ def bos_index(s, d):
     return o.groupBy(F.floor(F.col("start") / SHARD).alias("shard")).agg(F.count("*").alias("documents"), F.min(F.pmod("start", F.lit(SHARD))).alias("first_bos"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OFF_SQL}, a AS (SELECT start // {SHARD} AS shard, start, least(start + len, (start // {SHARD} + 1) * {SHARD}) AS stop, row_number() OVER (PARTITION BY start // {SHARD} ORDER BY start) AS k FROM o),
+r(shard, k, rank, seq, start, stop, room) AS (SELECT shard, k, CAST(0 AS BIGINT), CAST(0 AS BIGINT), start, start + least(stop - start, 512, 2049), 2049 - least(stop - start, 512, 2049) FROM a WHERE k = 1
+UNION ALL SELECT a.shard, a.k, r.rank + CASE WHEN r.room = 0 THEN 1 ELSE 0 END, CASE WHEN r.room = 0 THEN 0 ELSE r.seq + 1 END, a.start, a.start + least(a.stop - a.start, 512, CASE WHEN r.room = 0 THEN 2049 ELSE r.room END),
+ CASE WHEN r.room = 0 THEN 2049 ELSE r.room END - least(a.stop - a.start, 512, CASE WHEN r.room = 0 THEN 2049 ELSE r.room END) FROM r JOIN a ON a.shard = r.shard AND a.k = r.k + 1)
+SELECT CAST(shard AS BIGINT) AS shard, CAST(rank AS INT) AS rank, CAST(seq AS INT) AS seq_no, start, CAST(stop AS BIGINT) AS stop FROM r WHERE EXISTS (SELECT 1 FROM r AS f WHERE f.shard = r.shard AND f.rank = r.rank AND f.room = 0)""")
 def pack_documents(s, d):
     o = offsets(s, d).select(F.floor(F.col("start") / SHARD).alias("shard"), "start", F.least(F.col("start") + F.col("len"), (F.floor(F.col("start") / SHARD) + 1) * SHARD).alias("stop"))
     return X.pack_documents(o, 2048, 512)
@@ -244,6 +259,64 @@ def pack_eval_tasks(s, d):
     return X.pack_tasks(t.select(F.col("id").alias("item"), "length", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("rank")), 65536)
 
 
+# Fixed values of these queries: ranks, tokens of a row and of a packed sequence.
+RANKS, ROW, PACKED = 4, 4 * 256, 16_384
+
+
+def shard_sizes(s, d):
+    return shard_rollover(s, d).select("shard", "n_tokens")
+
+
+_SIZES = f"{OFF_SQL}, tt AS (SELECT CAST(sum(len) AS BIGINT) AS total FROM o), z AS (SELECT shard, least({SHARD}, total - shard * {SHARD}) AS n_tokens FROM (SELECT unnest(range(CAST(ceil(total / {SHARD}) AS BIGINT))) AS shard, total FROM tt))"
+
+
+@query(f"""WITH {_SIZES}, b AS (SELECT shard, n_tokens, (n_tokens - 1) // {RANKS * ROW} AS batches FROM z WHERE n_tokens >= {RANKS * ROW} + 1)
+SELECT shard, CAST(k AS BIGINT) AS batch, CAST(rank AS INT) AS rank, CAST((k * {RANKS} + rank) * {ROW} AS BIGINT) AS pos FROM (SELECT shard, unnest(range(batches)) AS k FROM b), (SELECT unnest(range({RANKS})) AS rank)""")
+def strided_batches(s, d):
+    """Where each rank of the strided loader reads: ranks side by side, on to the next shard when a step for all would overrun."""
+    return X.strided_batches(shard_sizes(s, d), RANKS, ROW)
+
+
+@query(f"""WITH p AS (SELECT slice, CAST(sum(n_chars) AS BIGINT) AS total FROM documents WHERE slice IS NOT NULL GROUP BY 1), q AS (SELECT slice, total, unnest([0, 1, 19999, 20000, 20001, 123456, 5000000]::BIGINT[]) AS skipped FROM p WHERE total > 0),
+a AS (SELECT *, CASE WHEN skipped = 0 THEN 0 ELSE (skipped - 1) // total END AS epoch, CASE WHEN skipped = 0 THEN 0 ELSE (skipped - 1) % total + 1 END AS spot FROM q),
+o AS (SELECT slice, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY slice ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM documents WHERE slice IS NOT NULL),
+h AS (SELECT slice, start // {SHARD} AS shard, sum(n_chars) AS n FROM o GROUP BY 1, 2), c AS (SELECT slice, shard, n, coalesce(sum(n) OVER (PARTITION BY slice ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE n > 0)
+SELECT a.slice, skipped, CAST(epoch AS BIGINT) AS epoch, CAST(c.shard AS BIGINT) AS shard, CAST(spot - before AS BIGINT) AS pos FROM a JOIN c ON c.slice = a.slice AND spot <= before + n AND (spot > before OR (spot = 0 AND before = 0))""")
+def pool_skip(s, d):
+    """Where a slice's pool stands after so many tokens: a resume without reading."""
+    skips = s.createDataFrame([(0,), (1,), (19_999,), (20_000,), (20_001,), (123_456,), (5_000_000,)], "skipped bigint")
+    return X.pool_skip(slice_shards(s, d).where("n_tokens > 0"), skips)
+
+
+_CHOICES = f"""t AS (SELECT id, prompt, target, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT id, min(coalesce(prompt, '')) AS prompt, min(coalesce(target, '')) AS target FROM cases WHERE id IS NOT NULL GROUP BY id)), n AS (SELECT count(*) AS n FROM t),
+e AS (SELECT a.id, a.k, length(a.prompt) AS ctx, list(1 + length(b.target) ORDER BY j) AS ends FROM t a, n, (SELECT unnest(range(4)) AS j) x JOIN t b ON b.k = (a.k + j) % n.n GROUP BY a.id, a.k, a.prompt),
+w AS (SELECT id, ctx, ends, k % {RANKS} AS rank, k // {RANKS} AS spot, 4 * ctx + list_sum(ends) AS total FROM e)"""
+
+
+@query(f"""WITH RECURSIVE {_CHOICES}, r(rank, spot, id, sequence, start, used) AS (SELECT rank, spot, id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(total + 3 - 4 AS BIGINT) FROM w WHERE spot = 0
+UNION ALL SELECT w.rank, w.spot, w.id, r.sequence + CASE WHEN r.used + w.total >= {PACKED} THEN 1 ELSE 0 END, CASE WHEN r.used + w.total >= {PACKED} THEN 0 ELSE r.used END, CAST(CASE WHEN r.used + w.total >= {PACKED} THEN w.total - 1 ELSE r.used + w.total END AS BIGINT) FROM r JOIN w ON w.rank = r.rank AND w.spot = r.spot + 1)
+SELECT CAST(r.rank AS INT) AS rank, CAST(sequence AS INT) AS sequence, r.id AS item, start AS offset, CAST(used - start AS BIGINT) AS tokens, CAST(start + CASE WHEN start > 0 THEN 1 ELSE 0 END + ctx - 1 AS BIGINT) AS first_span_start, CAST(start + CASE WHEN start > 0 THEN 1 ELSE 0 END + ctx - 1 + ends[1] AS BIGINT) AS first_span_end FROM r JOIN w ON w.id = r.id""")
+def pack_choice_tasks(s, d):
+    """Tasks of one context and four endings, taken by the ranks in turn and packed with separators; characters stand for tokens."""
+    one = table(s, d, "cases").where("id is not null").groupBy("id").agg(F.min(F.coalesce("prompt", F.lit(""))).alias("prompt"), F.min(F.coalesce("target", F.lit(""))).alias("target"))
+    t = running_sum(one.withColumn("one", F.lit(1)), [], ["id"], "one", "k", name="choices").select("id", "k", F.length("prompt").alias("ctx"), (F.length("target") + 1).alias("end"))
+    t = written(t, "choices")
+    n = t.agg(F.count("*").alias("n"))
+    ends = t.join(F.broadcast(n), F.lit(True)).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"), "k", "n", "end").select(F.pmod(F.col("k") - F.col("j"), "n").alias("k"), "j", "end")
+    four = ends.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "end"))), lambda x: x["end"]).alias("ends"))
+    return X.pack_choices(t.join(four, "k").select(F.col("id").alias("item"), F.col("k").alias("at"), "ctx", "ends"), RANKS, PACKED)
+
+
+@query("SELECT n AS preset, p AS progress, s AS slice, w AS weight FROM (VALUES " + ", ".join(f"('{n}', {p}::DOUBLE, '{sl}', {w}::DOUBLE)" for n, rows in X.PRESETS.items() for p, sl, w in rows) + ") t(n, p, s, w)")
+def schedule_presets(s, d):
+    """Every named schedule, parsed."""
+    out = None
+    for name in X.PRESETS:
+        p = X.parse_schedule(s, name).select(F.lit(name).alias("preset"), "progress", "slice", "weight")
+        out = p if out is None else out.union(p)
+    return out
+
+
 @query(f"SELECT n, CAST(ceil(n / 128) * 128 AS BIGINT) AS padded, n * 8 * 4 AS granule, least(n * 1000, ((n * 700 - 1) // (n * 8)) * (n * 8)) AS val_tokens FROM (SELECT unnest([1, 127, 128, 50257, 65536]) AS n)")
 def size_rules(s, d):
     """Vocabulary padding, batch granules and the cap of validation tokens."""

@@ -12,7 +12,7 @@ from textloom.plans.registry import query
 from textloom.scratch import shared_folder, written
 from textloom.sources import shards, texts
 from textloom.streaming.trajectories import last_per_step
-from textloom.tables import table
+from textloom.tables import spread, table
 
 VOCAB = "byte_bpe_50k.tiktoken"
 
@@ -42,7 +42,7 @@ def bpe_merges(s, d):
 
 @query()
 def tokenize_docs(s, d):
-    t = B.tokenize(table(s, d, "documents"), vocabulary())
+    t = B.tokenize(spread(table(s, d, "documents").select("doc_id", "text")), vocabulary())
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"))
 
 
@@ -51,7 +51,7 @@ def token_shards(s, d):
     """Tokens cut into shards, written in the shard format and read back."""
     shards.register(s)
     folder = f"{shared_folder(s)}/textloom/shards-{uuid.uuid4().hex}"
-    made = B.shard_pieces(written(B.tokenize(table(s, d, "documents"), vocabulary()), "tokens"), 50_000)
+    made = B.shard_pieces(written(B.tokenize(spread(table(s, d, "documents").select("doc_id", "text")), vocabulary()), "tokens"), 50_000)
     made.select("shard", "tokens").write.format("token_shard").mode("append").save(folder)
     r = s.read.format("token_shard").load(folder)
     eot = F.size(F.filter("tokens", lambda t: t == B.EOT))

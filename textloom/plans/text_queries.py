@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import quality as Q
 from textloom.plans.registry import query
-from textloom.tables import table
+from textloom.tables import spread, table
 
 SMALL = {"min_chars": 200}
 
@@ -56,7 +56,7 @@ _R = ", ".join(f"round({c}, 6) AS {c}" for c in RATIOS)
 
 
 def metrics(s, d, carry=()):
-    return Q.quality_metrics(table(s, d, "documents"), carry=carry)
+    return Q.quality_metrics(spread(table(s, d, "documents").select("doc_id", "text")), carry=carry)
 
 
 @query(f"WITH {METRICS_SQL} SELECT doc_id, n_chars, n_words, n_sentences, {_R}, CASE WHEN isinf(sentence_words) THEN NULL ELSE round(sentence_words, 6) END AS sentence_words, residual_boilerplate, audiobook_metadata FROM m")
@@ -154,6 +154,6 @@ c AS (SELECT doc_id, n, g, count(*) AS k FROM g GROUP BY doc_id, n, g HAVING cou
 SELECT c.doc_id, CAST(c.n AS INT) AS n, max(c.k) AS occurrences FROM c JOIN m ON m.doc_id = c.doc_id AND m.n = c.n GROUP BY c.doc_id, c.n""")
 def longest_repeat(s, d):
     """The longest run of 3 to 12 words that a text repeats, and how often the commonest of that length stands in it."""
-    w = table(s, d, "documents").select("doc_id", T.ascii_words(F.coalesce("text", F.lit(""))).alias("w"))
-    best = w.select("doc_id", T.longest_repeat(F.col("w"), 3, 12).alias("b")).where("b is not null")
+    w = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", T.ascii_words(F.coalesce("text", F.lit(""))).alias("w"))
+    best = w.where(T.repeats(F.col("w"), 3)).select("doc_id", T.longest_repeat(F.col("w"), 3, 12).alias("b")).where("b is not null")
     return best.select("doc_id", "b.n", F.col("b.k").cast("bigint").alias("occurrences"))

@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table ``name`` of ``directory`` (one Parquet file or folder each)."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it is read in fewer than half as many.
+
+    A table of one small file is one task, whatever is computed on its texts. A
+    table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
