@@ -53,6 +53,13 @@ def learn_merges(words: DataFrame, rounds: int) -> list[tuple[str, str, int]]:
     return out
 
 
+def vocabulary(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
+    """``(token, id)``: the characters of the words in order, from 256 on (bytes come before), then the merges."""
+    spark = words.sparkSession
+    chars = sorted(r["c"] for r in words.select(F.explode("pieces").alias("c")).distinct().collect())  # an alphabet
+    return spark.createDataFrame([(t, 256 + k) for k, t in enumerate([*chars, *dict.fromkeys(a + b for a, b, _ in merges)])], "token string, id bigint")
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import public_tokenizers

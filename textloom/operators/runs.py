@@ -58,3 +58,33 @@ def parse_log(lines: DataFrame) -> DataFrame:
     m = lines.where(F.col("value").rlike(VAL_LINE))
     out = m.select("run_id", F.regexp_extract("value", VAL_LINE, 1).cast("bigint").alias("step"), F.regexp_extract("value", VAL_LINE, 3).alias("val_loss_text"))
     return out.where("val_loss_text <> 'nan'")
+
+
+def scan_logs(lines: DataFrame, train_steps: int | None = None) -> DataFrame:
+    """``(train_steps, seed, run_id, last_step, final_loss)`` of the replicates among logs (run_id, value: a line each).
+
+    A log counts if it has a seed, is of no mixture, wasn't resumed and has a
+    finite reading; of the logs of a seed and length the most complete counts,
+    the first of equals. ``value`` is split into what each line tells, so no log
+    is gathered.
+    """
+    at = lambda k: F.regexp_extract("value", VAL_LINE, k)
+    val = F.col("value").rlike(VAL_LINE)
+    seen = lines.groupBy("run_id").agg(
+        F.min(F.when(F.col("value").rlike(SEED_LINE), F.regexp_extract("value", SEED_LINE, 1).cast("bigint"))).alias("seed"),
+        F.max(F.col("value").rlike(MIX_LINE)).alias("mixed"),
+        F.max(F.col("value").rlike(RESUMED_LINE)).alias("resumed"),
+        F.max(F.when(val, at(2).cast("bigint"))).alias("train_steps"),
+        F.max(F.when(val & (at(3) != "nan"), F.struct(at(1).cast("bigint").alias("step"), at(3).cast("double").alias("loss")))).alias("last"),
+    )
+    ok = seen.where("seed is not null and not mixed and not resumed and last is not null")
+    if train_steps is not None:
+        ok = ok.where(F.col("train_steps") == train_steps)
+    w = Window.partitionBy("train_steps", "seed").orderBy(F.desc("last.step"), "run_id")
+    return ok.withColumn("k", F.row_number().over(w)).where("k = 1").select("train_steps", "seed", "run_id", F.col("last.step").alias("last_step"), F.col("last.loss").alias("final_loss"))
+
+
+def logs_over_registry(logs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Both, of the form of :func:`scan_logs`; where they tell of one seed and length, the logs win."""
+    missing = registry.join(logs.select("train_steps", "seed"), ["train_steps", "seed"], "left_anti")
+    return logs.withColumn("origin", F.lit("log")).unionByName(missing.select(*logs.columns).withColumn("origin", F.lit("registry")))

@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.operators import cases as C
 from textloom.plans.registry import query
 from textloom.plans.text_queries import _SP
-from textloom.tables import table
+from textloom.tables import spread, table
 
 _TASK = "lower(trim(task))"
 _EDGE = r"""[.,;:!?''"()\[\]—–]"""
@@ -51,11 +51,19 @@ def reward_summary(s, d):
 
 
 def passages_of(s, d):
-    t = table(s, d, "documents").select("doc_id", F.coalesce("source_id", F.lit(-1)).alias("book"), F.posexplode(C.extract_passages(F.col("text"))).alias("part", "passage"))
+    t = spread(table(s, d, "documents").select("doc_id", "source_id", "text")).select("doc_id", F.coalesce("source_id", F.lit(-1)).alias("book"), F.posexplode(C.extract_passages(F.col("text"))).alias("part", "passage"))
     return t
 
 
-@query()
+# Paragraphs of ten words or more, merged greedily to 80 to 200 words: one paragraph a step.
+PASS_SQL = f"""WITH RECURSIVE pw AS (SELECT doc_id, source_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n[\\s\\x0B]*\\n'), lambda p: len(list_filter(regexp_split_to_array(p, '{_SP}+'), lambda x: x <> ''))), lambda n: n >= 10) AS ws FROM documents),
+f(doc_id, source_id, ws, k, buf, done) AS (SELECT doc_id, source_id, ws, 0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM pw
+UNION ALL SELECT doc_id, source_id, ws, k + 1, CASE WHEN buf + ws[k + 1] <= 200 THEN buf + ws[k + 1] ELSE ws[k + 1] END, CASE WHEN buf + ws[k + 1] > 200 AND buf >= 80 THEN list_append(done, buf) ELSE done END FROM f WHERE k < len(ws)),
+ps AS (SELECT doc_id, source_id, unnest(range(len(d))) AS part, unnest(d) AS words FROM (SELECT doc_id, source_id, CASE WHEN buf >= 80 THEN list_append(done, buf) ELSE done END AS d FROM f WHERE k = len(ws)))
+"""
+
+
+@query(PASS_SQL + "SELECT doc_id, CAST(part AS INT) AS part, CAST(words AS INT) AS words FROM ps")
 def extract_passages(s, d):
     return passages_of(s, d).select("doc_id", "part", F.size(F.split("passage", " ")).alias("words"))
 
@@ -94,7 +102,8 @@ def restoration_case(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(C.degraded(F.col("text"))).alias("prompt"), F.md5("text").alias("target"))
 
 
-@query()
+@query(PASS_SQL + """, h AS (SELECT doc_id, coalesce(source_id, -1) AS book, part, md5('1930:' || coalesce(source_id, -1) || ':' || doc_id || ':' || part) AS h FROM ps), r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY h, doc_id, part) AS r FROM h)
+SELECT doc_id, book, CAST(part AS INT) AS part FROM r ORDER BY r > 2, h, book, doc_id, part LIMIT 100""")
 def sample_cases(s, d):
     return C.sample_cases(passages_of(s, d), 100).select("doc_id", "book", "part")
 
@@ -164,6 +173,38 @@ def mean_kl(s, d):
     return z.groupBy("label").agg(F.round(F.avg(kl), 6).alias("mean_kl"))
 
 
+@query("""WITH p AS (SELECT id, min(text) AS text FROM passages WHERE id IS NOT NULL GROUP BY id), k AS (SELECT id, text, CASE WHEN id LIKE '%.contrast' THEN left(id, length(id) - 9) ELSE id END AS base, id LIKE '%.contrast' AS c FROM p),
+b AS (SELECT base, bool_or(c) AND bool_or(NOT c) AS pair FROM k GROUP BY base), r AS (SELECT k.base, id, CASE WHEN NOT pair THEN 'craft' WHEN c THEN 'wrong' ELSE 'target' END AS role FROM k JOIN b ON b.base = k.base)
+SELECT id, role, row_number() OVER (ORDER BY role = 'craft', base, role) - 1 AS place FROM r""")
+def context_roles(s, d):
+    """The contexts of the vectors in order: of each pair the target, then the wrong one, then what has no partner."""
+    from textloom.operators.prefix import running_sum
+
+    p = table(s, d, "passages").where("id is not null").select("id").distinct()
+    k = p.select("id", F.regexp_replace("id", r"\.contrast$", "").alias("base"), F.col("id").endswith(".contrast").alias("c"))
+    pair = k.groupBy("base").agg((F.bool_or("c") & F.bool_or(~F.col("c"))).alias("pair"))
+    r = k.join(pair, "base").select("id", "base", F.when(~F.col("pair"), "craft").when(F.col("c"), "wrong").otherwise("target").alias("role"), F.lit(1).alias("one"))
+    return running_sum(r.withColumn("late", F.col("role") == "craft"), [], ["late", "base", "role"], "one", "place", name="roles").select("id", "role", "place")
+
+
+@query("""WITH g AS (SELECT label, mode, count(*) AS rows, max(abs(list_sum(list_transform(embedding, lambda x: CASE mode WHEN 'none' THEN 0.0::DOUBLE ELSE x::DOUBLE END)))) AS residual FROM embeddings, (SELECT unnest(['add', 'none']) AS mode) GROUP BY 1, 2)
+SELECT label, mode, rows, CASE WHEN mode = 'none' THEN residual <= 1e-4 ELSE TRUE END AS ok FROM g""")
+def steer_checks(s, d):
+    """Rows of each label and mode, and whether the unsteered ones leave no residual."""
+    e = table(s, d, "embeddings").select("label", "embedding", F.explode(F.array(F.lit("add"), F.lit("none"))).alias("mode"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.when(F.col("mode") == "none", 0.0).otherwise(x.cast("double")))
+    return e.groupBy("label", "mode").agg(F.count("*").alias("rows"), F.max(F.abs(total)).alias("r")).select("label", "mode", "rows", F.when(F.col("mode") == "none", F.col("r") <= 1e-4).otherwise(F.lit(True)).alias("ok"))
+
+
+@query("""SELECT task, temperature, count(*) AS prompts FROM (SELECT DISTINCT coalesce(lower(trim(task)), '') AS task, prompt FROM cases WHERE prompt <> ''), (SELECT unnest([0.0, 0.7, 1.0]::DOUBLE[]) AS temperature) GROUP BY 1, 2""")
+def generation_grid(s, d):
+    """Prompts of each family times the temperatures."""
+    from textloom.sources.texts import prompt_grid
+
+    f = table(s, d, "cases").where("prompt <> ''").select(F.coalesce(F.lower(F.trim("task")), F.lit("")).alias("family"), F.array("prompt").alias("prompts")).distinct()
+    return prompt_grid(f, [0.0, 0.7, 1.0]).groupBy(F.col("family").alias("task"), "temperature").agg(F.count("*").alias("prompts"))
+
+
 _NLL = "(SELECT id, greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')), 1) AS tokens, length(coalesce(text, '')) / 3.0 AS nll FROM (SELECT id, min(text) AS text FROM passages WHERE id IS NOT NULL GROUP BY id))"
 
 

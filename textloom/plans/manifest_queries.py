@@ -109,6 +109,23 @@ def val_holdout(s, d):
     return M.holdout(M.last_wins(man(s, d)), "gutenberg_id", "char_count")
 
 
+@query(f"""WITH {LAST}, b AS (SELECT gutenberg_id, title, CAST(coalesce(char_count, 0) AS BIGINT) AS weight, md5('1930:' || CAST(gutenberg_id AS VARCHAR)) AS h FROM l WHERE {USABLE}),
+a AS (SELECT *, row_number() OVER (ORDER BY h, gutenberg_id) - 1 AS rank, coalesce(sum(weight) OVER (ORDER BY h, gutenberg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_before FROM b), v AS (SELECT * FROM a WHERE acc_before < 0.01 * (SELECT sum(weight) FROM b) OR rank < 8)
+SELECT string_agg(CAST(gutenberg_id AS VARCHAR), ',' ORDER BY gutenberg_id) AS val_book_ids, count(*) AS books, CAST(1930 AS BIGINT) AS seed, 0.01 AS val_frac_target, round(sum(weight) / (SELECT sum(weight) FROM b), 6) AS val_frac_actual_chars FROM v""")
+def val_pin(s, d):
+    """The held-out books pinned as one JSON record and read back."""
+    from textloom.plans.source_queries import _folder
+    from textloom.sources.jsonl import append_jsonl
+
+    books, at = M.last_wins(man(s, d)), _folder(s, "val-pin")
+    total = books.agg(F.sum(F.coalesce("char_count", F.lit(0))).alias("total"))
+    held = M.holdout(books, "gutenberg_id", "char_count")  # about a hundredth of the books
+    pin = held.agg(F.array_sort(F.collect_list("gutenberg_id")).alias("val_book_ids"), F.sum("weight").alias("w")).join(F.broadcast(total), F.lit(True))
+    append_jsonl(pin.select("val_book_ids", F.lit(1930).cast("bigint").alias("seed"), F.lit(0.01).alias("val_frac_target"), (F.col("w") / F.col("total")).alias("val_frac_actual_chars")), at)
+    r = s.read.schema("val_book_ids array<bigint>, seed bigint, val_frac_target double, val_frac_actual_chars double").json(at)
+    return r.select(F.array_join(F.col("val_book_ids").cast("array<string>"), ",").alias("val_book_ids"), F.size("val_book_ids").cast("bigint").alias("books"), "seed", "val_frac_target", F.round("val_frac_actual_chars", 6).alias("val_frac_actual_chars"))
+
+
 @query("""WITH cand AS (SELECT DISTINCT source_id, source_author, source_title FROM cases WHERE source_id IS NOT NULL),
 man AS (SELECT gutenberg_id, bool_or(split = 'val') AS v, count(*) AS n FROM manifest GROUP BY 1), held AS (SELECT DISTINCT split_part(source_author, ',', 1) AS surname FROM cases WHERE lower(trim(task)) = 'restoration' AND source_author LIKE '%,%')
 SELECT cand.source_id, cand.source_author, cand.source_title, CASE WHEN man.v THEN 'val-book' WHEN held.surname IS NOT NULL THEN 'eval-holdout' WHEN man.n IS NOT NULL THEN 'already-in-corpus' ELSE 'clean' END AS conflict

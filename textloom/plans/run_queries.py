@@ -194,6 +194,42 @@ def log_through(s, d):
     return o.join(cut, "run_id", "left").where("cut is null or at < cut").groupBy("run_id").agg(F.count("*").alias("kept"))
 
 
+_SCAN = f"""WITH {CURVE}, q AS (SELECT run_id, max(part) AS parts FROM (SELECT run_id, sum(CASE WHEN prev IS NULL OR step <= prev THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY logged_at, step) AS part
+ FROM (SELECT *, lag(step) OVER (PARTITION BY run_id ORDER BY logged_at, step) AS prev FROM (SELECT DISTINCT run_id, step, logged_at FROM run_steps WHERE step IS NOT NULL AND logged_at IS NOT NULL))) GROUP BY run_id),
+f AS (SELECT m.run_id, m.seed, m.mix, m.last_step, r.val_loss FROM m JOIN r ON r.run_id = m.run_id AND r.step = m.last_step),
+lg AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY seed ORDER BY last_step DESC, f.run_id) AS w FROM f JOIN q ON q.run_id = f.run_id WHERE seed IS NOT NULL AND mix IS NULL AND parts = 1) WHERE w = 1)"""
+
+
+def rendered_logs(s, d):
+    """Each run's log, line by line: seed, mixture, whether it was resumed, readings."""
+    c = R.curve(steps(s, d))
+    meta = c.groupBy("run_id").agg(F.min("init_seed").alias("seed"), F.max("mix_spec").alias("mix"))
+    parts = R.sessions(steps(s, d)).groupBy("run_id").agg(F.max("part").alias("parts"))
+    line = lambda df, v: df.select("run_id", v.alias("value"))
+    return (
+        line(meta.where("seed is not null"), F.format_string("init_seed=%d", "seed"))
+        .union(line(meta.where("mix is not null"), F.format_string("[mix] spec=%s slices=[]", "mix")))
+        .union(line(parts.where("parts > 1"), F.lit("Resumed from a checkpoint")))
+        .union(R.log_lines(c))
+    )
+
+
+@query(_SCAN + " SELECT CAST(1000 AS BIGINT) AS train_steps, seed, run_id, last_step, round(val_loss, 4) AS final_loss FROM lg")
+def seed_scan(s, d):
+    """Replicates found in the logs alone: of no mixture and not resumed."""
+    return R.scan_logs(rendered_logs(s, d)).withColumn("final_loss", F.round("final_loss", 4))
+
+
+@query(_SCAN + """, rg AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY seed ORDER BY last_step DESC, run_id) AS w FROM f WHERE seed IS NOT NULL) WHERE w = 1)
+SELECT seed, run_id, 'log' AS origin FROM lg UNION ALL SELECT seed, run_id, 'registry' FROM rg WHERE seed NOT IN (SELECT seed FROM lg)""")
+def seed_merge(s, d):
+    """The logs' replicates, and the registry's for seeds that no log tells of."""
+    c = R.final_loss(R.curve(steps(s, d))).where("init_seed is not null")
+    w = Window.partitionBy("init_seed").orderBy(F.desc("step"), "run_id")
+    reg = c.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.lit(1000).cast("bigint").alias("train_steps"), F.col("init_seed").alias("seed"), "run_id", F.col("step").alias("last_step"), F.col("val_loss").alias("final_loss"))
+    return R.logs_over_registry(R.scan_logs(rendered_logs(s, d)), reg).select("seed", "run_id", "origin")
+
+
 # Extensions on the event table: windows in event time.
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(s, d):

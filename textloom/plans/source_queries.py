@@ -10,8 +10,8 @@ from textloom.functions import text as T
 from textloom.operators import bpe as B
 from textloom.plans.registry import query
 from textloom.scratch import shared_folder, written
-from textloom.sources import shards, texts
-from textloom.streaming.trajectories import last_per_step
+from textloom.sources import jsonl, shards, texts
+from textloom.streaming.trajectories import StepStream, last_per_step
 from textloom.tables import spread, table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -85,6 +85,83 @@ def section_files(s, d):
     return texts.parse_sections(files.select(F.concat_ws("/", "section_file", "b").alias("name"), "text")).select(F.regexp_extract("name", "^(.*)/", 1).alias("section_file"), "id", F.md5("text").alias("body"))
 
 
+def _folder(s, name):
+    return f"{shared_folder(s)}/textloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT line_no, gutenberg_id, md5(coalesce(title, '')) AS title, coalesce(array_to_string(authors, '|'), '') AS authors, status, copyright, char_count FROM manifest")
+def manifest_jsonl(s, d):
+    """The manifest written as JSONL and read again."""
+    m, at = table(s, d, "manifest"), _folder(s, "manifest-jsonl")
+    jsonl.append_jsonl(m, at)
+    r = texts.read_manifest(s, at, ", ".join(f"`{n}` {t}" for n, t in m.dtypes))
+    return r.select("line_no", "gutenberg_id", F.md5(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce(F.array_join("authors", "|"), F.lit("")).alias("authors"), "status", "copyright", "char_count")
+
+
+@query("""SELECT run_id, step, CASE WHEN isnan(val_loss) OR isinf(val_loss) THEN NULL ELSE round(val_loss, 6) END AS val_loss, coalesce(isnan(val_loss) OR isinf(val_loss), FALSE) AS val_loss_nonfinite, count(*) AS n FROM run_steps GROUP BY 1, 2, 3, 4""")
+def trajectory_jsonl(s, d):
+    """Step rows appended twice over as JSONL, NaN as null with a flag, and read again."""
+    t, at = table(s, d, "run_steps").select("run_id", "step", "val_loss"), _folder(s, "trajectory")
+    for half in (0, 1):
+        jsonl.append_jsonl(t.where(F.coalesce(F.pmod("step", F.lit(2)), F.lit(0)) == half), at)
+    r = s.read.schema("run_id string, step bigint, val_loss double, val_loss_nonfinite boolean").option("mode", "FAILFAST").json(at)
+    return r.groupBy("run_id", "step", F.round("val_loss", 6).alias("val_loss"), F.coalesce("val_loss_nonfinite", F.lit(False)).alias("val_loss_nonfinite")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT run_id, min(init_seed) AS seed, max(mix_spec) AS mix, max(step) AS last_step, TRUE AS indexed FROM run_steps WHERE run_id IS NOT NULL GROUP BY run_id")
+def run_index(s, d):
+    """A record of each run, then the common index, read back from the records."""
+    at = _folder(s, "runs")
+    runs = table(s, d, "run_steps").where("run_id is not null").groupBy("run_id").agg(F.min("init_seed").alias("seed"), F.max("mix_spec").alias("mix"), F.max("step").alias("last_step"))
+    jsonl.write_run_records(runs, at)
+    schema = "run_id string, seed bigint, mix string, last_step bigint"
+    index = s.read.schema(schema).json(f"{at}/index").select("run_id", F.lit(True).alias("indexed"))
+    return jsonl.read_run_records(s, at, schema).join(index, "run_id", "left").select("run_id", "seed", "mix", "last_step", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
+@query("""WITH o AS (SELECT slice, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY slice ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM documents WHERE slice IS NOT NULL), h AS (SELECT slice, CAST(start // 20000 AS BIGINT) AS k, sum(n_chars) AS n FROM o GROUP BY 1, 2)
+SELECT slice, printf('%s_%06d.bin', slice, k) AS shard_name, CAST(n AS BIGINT) AS num_tokens, CAST(sum(n) OVER (PARTITION BY slice) AS BIGINT) AS pool_tokens FROM h""")
+def slice_manifest(s, d):
+    """Shards by slice and by split written as one manifest, its facts checked, and the section of slices read."""
+    from textloom.plans.mix_queries import shard_rollover, slice_shards
+
+    at = _folder(s, "shard-manifest")
+    own = slice_shards(s, d).select(F.lit("train").alias("split"), "slice", F.format_string("%s_%06d.bin", "slice", "shard").alias("name"), "n_tokens")
+    jsonl.write_shard_manifest(own.union(shard_rollover(s, d).select("split", F.lit(None).cast("string"), "name", "n_tokens")), at, tokenizer=VOCAB, vocab_size=50304, eot_token=B.EOT)
+    jsonl.check_manifest(s, at, tokenizer=VOCAB, vocab_size=50304, eot_token=B.EOT)
+    return jsonl.load_slice_manifest(s, at)
+
+
+@query("""WITH t AS (SELECT 3 * count(*) AS n FROM documents), k AS (SELECT unnest(range(CAST(ceil(n / 500) AS BIGINT))) AS k, n FROM t)
+SELECT printf('train_%06d.bin', k) AS name, CAST(least(500, n - 500 * k) AS BIGINT) AS n_tokens, CAST(1024 + 2 * least(500, n - 500 * k) AS BIGINT) AS file_size, CAST(ceil(least(500 * (k + 1), n) / 3) - ceil(500 * k / 3) AS BIGINT) AS document_starts, TRUE AS ok, FALSE AS differs FROM k""")
+def shards_inspected(s, d):
+    """Shards of three tokens a document, written, inspected and held against their own manifest."""
+    shards.register(s)
+    at = _folder(s, "inspected")
+    t = table(s, d, "documents").select("doc_id", F.array(F.lit(B.EOT), F.pmod("doc_id", F.lit(50_000)).cast("int"), F.pmod("n_chars", F.lit(50_000)).cast("int")).alias("tokens"))
+    B.shard_pieces(t, 500).select("shard", "tokens").write.format("token_shard").mode("append").save(at)
+    found = written(shards.inspect_shards(s, at), "inspected")
+    against = shards.compared(found, found.select("name", "n_tokens", "file_size", "sha256"))
+    return found.join(against, "name").select("name", "n_tokens", "file_size", "document_starts", F.col("problem").isNull().alias("ok"), "differs")
+
+
+@query("SELECT i AS step, i / 1000 AS progress FROM (SELECT unnest(range(1000)) AS i)")
+def replayed_steps(s, d):
+    """The step stream read to its end in two runs from one checkpoint: every step once."""
+    s.dataSource.register(StepStream)
+    at = _folder(s, "steps")
+    for _ in range(2):
+        r = s.readStream.format("step_stream").option("steps", 1000).option("per_batch", 500).load()
+        r.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return s.read.schema("step bigint, progress double").parquet(f"{at}/rows")
+
+
+@query("""WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']')) AS token FROM documents) SELECT token, row_number() OVER (ORDER BY token) + 255 AS id FROM c""")
+def bpe_alphabet(s, d):
+    """The first entries of a trained vocabulary: its characters in order, from 256 on."""
+    return B.vocabulary(words(s, d), []).select("token", "id")
+
+
 def _stream(s, d, name):
     """The table as a file stream, whether it is one file or a folder of files."""
     t = table(s, d, name)

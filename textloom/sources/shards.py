@@ -11,6 +11,7 @@ that failed and repeated attempts leave none.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # The format.
@@ -146,3 +149,56 @@ class TokenShards(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     spark.dataSource.register(TokenShards)
+
+
+INSPECTED = "name string, magic int, version int, n_tokens bigint, file_size bigint, sha256 string, document_starts bigint, problem string"
+
+
+def inspect_shards(spark: SparkSession, folder: str, eot: int = 50256) -> DataFrame:
+    """A row per shard file: header, size, digest, separators in it, and what is wrong with it (null if nothing).
+
+    Files are read in pieces, one task a file; only their names are listed first.
+    """
+    from pyarrow import fs
+
+    system, root = _fs(folder)
+    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".bin"))
+    files = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)), "path") if names else spark.createDataFrame([], "path string")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                digest, starts, size, odd = hashlib.sha256(), 0, 0, b""
+                with _fs(folder)[0].open_input_stream(path) as f:
+                    raw = f.read(HEADER)
+                    digest.update(raw)
+                    size += len(raw)
+                    while chunk := f.read(1 << 24):
+                        digest.update(chunk)
+                        size += len(chunk)
+                        chunk = odd + chunk
+                        whole = len(chunk) // 2 * 2
+                        starts += int((np.frombuffer(chunk[:whole], "<u2") == eot).sum())
+                        odd = chunk[whole:]
+                magic, version, n = struct.unpack("<3i", raw[:12]) if len(raw) >= 12 else (None, None, None)
+                try:
+                    problem = check_header(raw, size) and None
+                except ValueError as e:
+                    problem = str(e)
+                rows.append((path.rsplit("/", 1)[-1], magic, version, n, size, digest.hexdigest(), starts, problem))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INSPECTED.split(", ")]).astype({"magic": "Int32", "version": "Int32", "n_tokens": "Int64"})
+
+    return files.mapInPandas(look, INSPECTED)
+
+
+def compared(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(name, listed, present, differs)``: shards against a manifest (name, and any of n_tokens, file_size, sha256), both ways."""
+    known = [c for c in ("n_tokens", "file_size", "sha256", "magic", "version") if c in manifest.columns]
+    m = manifest.select("name", F.lit(True).alias("listed"), *[F.col(c).alias(f"m_{c}") for c in known])
+    j = found.select("name", F.lit(True).alias("present"), *known).join(m, "name", "full")
+    other = F.lit(False)
+    for c in known:
+        other = other | F.coalesce(F.col(f"m_{c}").isNotNull() & (F.col(c) != F.col(f"m_{c}")), F.lit(False))
+    no = F.lit(False)
+    return j.select("name", F.coalesce("listed", no).alias("listed"), F.coalesce("present", no).alias("present"), other.alias("differs"))
