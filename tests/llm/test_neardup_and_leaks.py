@@ -114,7 +114,7 @@ def test_leaks_equal_brute_force_also_with_hot_seeds(spark):
     docs += [(2000, None), (2001, ""), (2002, docs[1][1])]
     items += [("text", "none", None), items[0], ("prompt", "same", items[0][2])]
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_field string, item_id string, text string")
-    for s in (L.Settings(), L.Settings(hot_pairs=3, send_keys=2), L.TOLERANT):
+    for s in (L.Settings(), L.Settings(hot_pairs=3, send_keys=2), L.TOLERANT, L.Settings(max_subs=1, masks=L.TOLERANT.masks, hot_pairs=1), L.Settings(max_subs=1, masks=L.TOLERANT.masks, hot_pairs=1, send_keys=0)):
         got = {(r["doc_id"], r["item_field"], r["item_id"]) for r in L.leaked_items(dd, ii, s).collect()}
         assert got == brute(docs, items, s.max_subs), s
     assert L.leaked_items(dd.limit(0), ii).count() == 0 == L.leaked_items(dd, ii.limit(0)).count()

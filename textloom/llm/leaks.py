@@ -13,8 +13,9 @@ which the replaced words leave one placed mask untouched is found.
 
 A seed that many texts of both sides hold would join to a product of texts
 that need not share a run. Seeds beyond ``hot_pairs`` pairs are therefore
-joined together with the hash of the whole run around them, which only texts
-that share the run hold: nothing is dropped.
+joined by the whole runs around them, which only texts that share a run hold:
+by the hash of the run, or, with a word replaced, by its hashes with each one
+word left out. Nothing is dropped.
 
 Defined results: null, blank and too short texts match nothing; repeated rows
 and copies are compared once and reported for each id; empty tables give an
@@ -45,8 +46,8 @@ class Settings:
     send_keys: int = 1_000_000
 
 
-#: Two masks of weight 5: of any 12 words with one replaced, 5 or more in a row are untouched, and one mask fits each case.
-TOLERANT = Settings(max_subs=1, masks=("110011", "11011"))
+#: Of any 12 words with one replaced, 6 or more in a row are untouched, and hold a whole seed of a mask of no more than 6.
+TOLERANT = Settings(max_subs=1, masks=("110111",))
 
 
 def _masked(h: np.ndarray, ends: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +86,47 @@ def seeds(texts: list[str | None], s: Settings, wide: bool = False) -> tuple[np.
     return low[first], d[first], None
 
 
+def _left_out(h: np.ndarray, ends: np.ndarray, s: Settings, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(text number, run hash)`` of the windows of ``min_run`` words, hashed with each of them left out in turn.
+
+    Where ``hot`` is given, only windows that hold one of its seeds.
+    """
+    if s.max_subs > 1:
+        raise ValueError("hot seeds are told apart by runs with at most one word replaced")
+    seen = np.zeros(len(h), bool)
+    for mask in s.masks:
+        g, doc, pos = _masked(h, ends, mask)
+        starts = np.r_[0, ends[:-1]][doc] + pos if len(g) else np.empty(0, np.int64)
+        if hot is not None:
+            starts = starts[np.isin(g.view(np.int64), hot)]
+        # Windows whose words hold the seed: they begin up to min_run - span earlier.
+        for back in range(s.min_run - len(mask) + 1):
+            at = starts - back
+            seen[at[at >= 0]] = True
+    out = []
+    for k in range(s.min_run):
+        g, doc, pos = windows(h, ends, [i for i in range(s.min_run) if i != k], s.min_run)
+        if not len(g):
+            continue
+        keep = seen[np.r_[0, ends[:-1]][doc] + pos]
+        out.append((mix(g[keep] + np.uint64(k + 1)), doc[keep]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate([d for _, d in out]), np.concatenate([g for g, _ in out])
+
+
+def _emit_hot(s: Settings, sent):
+    """Runs with a word left out around the hot seeds (sent to all tasks, as they are few; None: around all)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h, ends = word_hashes(b["text"].tolist())
+            d, r = _left_out(h, np.asarray(ends, np.int64), s, None if sent is None else sent.value)
+            yield pd.DataFrame({"owner": b["owner"].values[d], "side": b["side"].values[d], "run": r.view(np.int64)}).drop_duplicates()
+
+    return run
+
+
 def _emit(s: Settings, wide: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,14 +175,21 @@ def leak_pairs(corpus: DataFrame, items: DataFrame, s: Settings = Settings()) ->
     counts = found.groupBy("h").agg(F.sum(1 - F.col("side")).alias("nd"), F.sum("side").alias("ni")).where("nd > 0 and ni > 0")
     counts = written(counts, "leak-shared")
     limit = F.lit(s.hot_pairs)
-    cool = counts.where((F.col("nd") * F.col("ni") <= limit) | F.lit(s.max_subs > 0)).select("h")
+    cool = counts.where(F.col("nd") * F.col("ni") <= limit).select("h")
     few = _among(found, cool, "h", cool.count(), s)
     d, i = few.where("side = 0").select("h", F.col("owner").alias("doc")), few.where("side = 1").select("h", F.col("owner").alias("item"))
     met = d.join(i, "h").select("doc", "item")
     hot = counts.where(F.col("nd") * F.col("ni") > limit).select("h")
-    n_hot = 0 if s.max_subs else hot.count()
+    n_hot = hot.count()
     if n_hot:
-        wide = written(_among(both.mapInPandas(_emit(s, True), "h bigint, owner bigint, side int, run bigint"), hot, "h", n_hot, s).distinct(), "leak-runs")
+        if s.max_subs:
+            # An array of at most send_keys keys, counted; beyond that every window is taken.
+            sent = both.sparkSession.sparkContext.broadcast(hot.toPandas()["h"].to_numpy(np.int64)) if n_hot <= s.send_keys else None
+            wide = written(both.mapInPandas(_emit_hot(s, sent), "owner bigint, side int, run bigint"), "leak-runs")
+            runs = wide.groupBy("run").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("run")
+            wide = wide.join(runs, "run", "left_semi")
+        else:
+            wide = written(_among(both.mapInPandas(_emit(s, True), "h bigint, owner bigint, side int, run bigint"), hot, "h", n_hot, s).distinct(), "leak-runs")
         d, i = (wide.where(F.col("side") == k).select("run", F.col("owner").alias(n)) for k, n in ((0, "doc"), (1, "item")))
         met = met.union(d.join(i, "run").select("doc", "item"))
     met = written(met.distinct(), "leak-candidates")

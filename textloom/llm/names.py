@@ -51,17 +51,17 @@ BODIES = frozenset(BODY_WORDS.values()) | frozenset("guild club union league cou
 # English nicknames and the names they stand for.
 NICKNAMES = {
     "abby": "abigail", "alec": "alexander", "alex": "alexander", "sandy": "alexander", "archie": "archibald", "gus": "augustus", "barney": "barnaby",
-    "bart": "bartholomew", "bea": "beatrice", "trixie": "beatrice", "ben": "benjamin", "benny": "benjamin", "biddy": "bridget", "cissy": "cecilia",
-    "celia": "cecilia", "charlie": "charlotte", "lottie": "charlotte", "clem": "clement", "connie": "constance", "con": "conrad", "bert": "cuthbert hubert gilbert",
+    "bart": "bartholomew", "bea": "beatrice", "trixie": "beatrice", "ben": "benjamin benedict", "benny": "benjamin", "biddy": "bridget", "cissy": "cecilia",
+    "celia": "cecilia", "charlie": "charlotte charles", "lottie": "charlotte", "clem": "clement", "connie": "constance", "con": "conrad", "bert": "cuthbert hubert gilbert albert herbert robert",
     "cuddy": "cuthbert", "debby": "deborah", "deb": "deborah", "dolly": "dorothea", "dora": "dorothea theodora", "dot": "dorothea", "edie": "edith",
     "ed": "edmund edward", "ned": "edmund edward", "ted": "edmund edward theodore", "nell": "eleanor", "nelly": "eleanor", "nora": "eleanor",
     "bess": "elizabeth", "bessie": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "eliza": "elizabeth", "lizzie": "elizabeth", "liza": "elizabeth",
     "ras": "erasmus", "evie": "everard", "fee": "felicity", "ferdy": "ferdinand", "flo": "florence", "flossie": "florence", "florrie": "florence",
     "fred": "frederick ferdinand", "freddy": "frederick", "freddie": "frederick", "georgie": "georgiana", "gertie": "gertrude", "trudy": "gertrude",
-    "gil": "gilbert", "hattie": "harriet", "harry": "harriet henry", "etta": "henrietta harriet", "hetty": "henrietta", "horry": "horatio", "hugh": "hubert",
+    "gil": "gilbert", "hattie": "harriet", "harry": "harriet henry harold", "etta": "henrietta harriet", "hetty": "henrietta", "horry": "horatio", "hugh": "hubert hugo",
     "iggy": "ignatius", "immy": "imogen", "bella": "isabella", "belle": "isabella", "jem": "jemima", "mima": "jemima", "jon": "jonathan", "jo": "josephine",
-    "josie": "josephine", "jules": "julian", "kate": "katherine", "kitty": "katherine", "kathy": "katherine", "ken": "kenelm", "kizzy": "keziah",
-    "vinnie": "lavinia", "larry": "lawrence", "laurie": "lawrence", "leo": "leopold", "letty": "letitia", "tish": "letitia", "luke": "lucian", "lucy": "lucian",
+    "josie": "josephine", "jules": "julian", "kate": "katherine", "kitty": "katherine", "kathy": "katherine", "ken": "kenelm kenneth", "kizzy": "keziah",
+    "vinnie": "lavinia", "larry": "lawrence", "laurie": "lawrence", "leo": "leopold", "letty": "letitia", "tish": "letitia", "luke": "lucian lucas", "lucy": "lucian lucinda",
     "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "daisy": "margaret", "madge": "margaret", "greta": "margaret", "matt": "matthew", "molly": "marianne mary",
     "milly": "millicent", "monty": "montague", "nat": "nathaniel", "nate": "nathaniel", "nick": "nicholas", "nicky": "nicholas", "ozzy": "oswald",
     "tilly": "ottilie matilda", "penny": "penelope", "percy": "percival", "pip": "philippa", "pippa": "philippa", "prissy": "priscilla", "cilla": "priscilla",
@@ -72,6 +72,9 @@ NICKNAMES = {
     "mina": "wilhelmina", "minnie": "wilhelmina", "willa": "wilhelmina", "will": "william", "bill": "william", "billy": "william", "willy": "william",
     "winnie": "winifred", "freda": "winifred", "zach": "zachary", "zack": "zachary", "jack": "john", "johnny": "john", "jim": "james", "jimmy": "james",
     "dick": "richard", "polly": "mary", "nan": "ann", "nancy": "ann", "hal": "henry", "frank": "francis", "fanny": "frances", "chas": "charles", "wm": "william",
+    "al": "albert alfred", "alf": "alfred", "andy": "andrew", "art": "arthur", "chris": "christopher christina", "dan": "daniel", "danny": "daniel", "dave": "david",
+    "don": "donald", "gene": "eugene", "geo": "george", "geoff": "geoffrey", "greg": "gregory", "jeff": "jeffrey", "jenny": "jennifer jane", "jerry": "jeremiah gerald", "joe": "joseph",
+    "mike": "michael", "mick": "michael", "pat": "patrick patricia", "paddy": "patrick", "pete": "peter", "phil": "philip", "ron": "ronald", "steve": "stephen", "sid": "sidney", "stan": "stanley",
 }
 
 #: Log-probabilities of the channel.

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from textloom.llm import curriculum, leaks, names, natural, neardup, packing, splits, truncation
 from textloom.scratch import written
-from textloom.tables import table
+from textloom.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def texts(s: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A table of texts, over all cores also where it is one small file."""
+    t = table(s, d, name)
+    return spread(t.select(*columns, "text") if columns else t)
+
+
 def p1_found(s: SparkSession, d: str) -> DataFrame:
     return names.author_pairs(table(s, d, "cases"))
 
@@ -35,15 +41,15 @@ def p2_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicates_found(table(s, d, "passages"), table(s, d, "cases"))
+    return neardup.near_duplicates_found(texts(s, d, "passages"), table(s, d, "cases"))
 
 
 def p3_groups(s: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(s, d, "passages"), "id", "text")
+    return neardup.near_duplicate_groups(texts(s, d, "passages"), "id", "text")
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    return natural.unnatural_passages(table(s, d, "passages"), table(s, d, "common_words"))
+    return natural.unnatural_passages(texts(s, d, "passages"), table(s, d, "common_words"))
 
 
 def p4_statistics(s: SparkSession, d: str) -> DataFrame:
@@ -53,15 +59,20 @@ def p4_statistics(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_verdicts(s: SparkSession, d: str) -> DataFrame:
-    return natural.judged_passages(table(s, d, "passages"), table(s, d, "common_words"))
+    return natural.judged_passages(texts(s, d, "passages"), table(s, d, "common_words"))
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(table(s, d, "documents"), leaks.evaluation_items(table(s, d, "passages"), table(s, d, "cases")))
+    return leaks.leaked_items(texts(s, d, "documents", "doc_id"), leaks.evaluation_items(texts(s, d, "passages"), table(s, d, "cases")))
+
+
+def p5_tolerant(s: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share 12 words in a row but for one replaced."""
+    return leaks.leaked_items(texts(s, d, "documents", "doc_id"), leaks.evaluation_items(texts(s, d, "passages"), table(s, d, "cases")), leaks.TOLERANT)
 
 
 def p6_containers(s: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(s, d, "documents"), table(s, d, "pack_sizes"))
+    return packing.packed(texts(s, d, "documents", "doc_id"), table(s, d, "pack_sizes"))
 
 
 def p6_fill(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +80,7 @@ def p6_fill(s: SparkSession, d: str) -> DataFrame:
 
 
 def p7_draws(s: SparkSession, d: str) -> DataFrame:
-    return curriculum.draws(table(s, d, "documents"), table(s, d, "mix_targets"), table(s, d, "mix_schedule"))
+    return curriculum.draws(texts(s, d, "documents"), table(s, d, "mix_targets"), table(s, d, "mix_schedule"))
 
 
 def p7_shares(s: SparkSession, d: str) -> DataFrame:
@@ -77,17 +88,17 @@ def p7_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated_documents(table(s, d, "documents"))
+    return truncation.truncated_documents(texts(s, d, "documents", "doc_id", "source"))
 
 
 def p8_rates(s: SparkSession, d: str) -> DataFrame:
-    return truncation.truncation_rates(table(s, d, "documents"))
+    return truncation.truncation_rates(texts(s, d, "documents", "doc_id", "source"))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_found, p1_authors, p2_found, p2_splits, p2_shares, p3_found, p3_groups, p4_found, p4_statistics, p4_verdicts,
-        p5_found, p6_containers, p6_fill, p7_draws, p7_shares, p8_found, p8_rates,
+        p5_found, p5_tolerant, p6_containers, p6_fill, p7_draws, p7_shares, p8_found, p8_rates,
     )}
 
 

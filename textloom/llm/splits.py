@@ -36,12 +36,12 @@ from textloom.scratch import written
 LABELS = ("continuation", "infilling", "restoration", "")
 
 
-def book_groups(cases: DataFrame, book: str = "source_id", author: str = "source_author") -> DataFrame:
-    """``(source_id, root_source_id)``: books tied by a chain of shared authors."""
+def book_groups(cases: DataFrame, book: str = "source_id", author: str = "source_author", clusters: DataFrame | None = None) -> DataFrame:
+    """``(source_id, root_source_id)``: books tied by a chain of shared authors; ``clusters``: what ``author_clusters`` gave, if it is known."""
     pairs = written(
         cases.select(F.col(book).alias("source_id"), F.col(author).alias("spelling")).where("source_id is not null").distinct(), "split-books"
     )
-    clusters = written(author_clusters(cases, author, book), "split-authors")
+    clusters = written(author_clusters(cases, author, book), "split-authors") if clusters is None else clusters
     named = pairs.join(clusters, "spelling").select("source_id", "author_key").distinct()
     # A star around an author's smallest book: as many edges as rows, not pairs.
     low = named.groupBy("author_key").agg(F.min("source_id").alias("low"))
@@ -200,9 +200,9 @@ def _place_big(weights: list[list[int]], want: list[float], found: list[int]) ->
 
 
 def split_cases(cases: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """``(id, source_id, component, split_name)``, a row per row of ``cases``."""
-    groups = written(book_groups(cases), "split-groups")
+    """``(id, source_id, component, label, split_name)``, a row per row of ``cases``."""
     clusters = written(author_clusters(cases), "split-names")
+    groups = written(book_groups(cases, clusters=clusters), "split-groups")
     rows = cases.select("id", "source_id", F.col("source_author").alias("spelling"), clean_task().alias("label"))
     by_book = rows.join(groups, "source_id", "left")
     lone = clusters.join(rows.where("source_id is not null").select("source_id", "spelling").distinct(), "spelling").join(groups, "source_id")
@@ -220,15 +220,35 @@ def split_cases(cases: DataFrame, targets: DataFrame, **options) -> DataFrame:
     sums = placed.groupBy("component").agg(*[F.count(F.when(F.col("label") == x, 1)).alias(f"n{j}") for j, x in enumerate(LABELS)])
     wanted = [(r["split_name"], r["target_share"]) for r in targets.orderBy("split_name").collect()]
     chosen = assign_components(sums, wanted, **options)
-    return placed.join(chosen, "component", "left").select("id", "source_id", "component", "split_name")
+    return placed.join(chosen, "component", "left").select("id", "source_id", "component", "label", "split_name")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(split_name, rows, components, share, target_share)`` of an assignment."""
+    """``(split_name, rows, components, share, target_share, label_deviation)`` of an assignment.
+
+    ``label_deviation``: the greatest difference of a label's share in the split
+    from its share in all rows; 0 for an empty split.
+    """
+    per = written(assigned.groupBy("split_name", "label").agg(F.count("*").alias("n")), "split-labels")
+    whole = per.groupBy("label").agg(F.sum("n").alias("all_n"))
+    size = per.groupBy("split_name").agg(F.sum("n").alias("size"))
+    total = per.agg(F.sum("n").alias("total"))
+    # Labels and splits are a few fixed values.
+    cells = size.join(F.broadcast(whole), F.lit(True)).join(F.broadcast(total), F.lit(True)).join(per, ["split_name", "label"], "left")
+    off = F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("size") - F.col("all_n") / F.col("total"))).alias("label_deviation")
     got = assigned.groupBy("split_name").agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"))
     share = F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    zero = F.lit(0)
     return (
         targets.select("split_name", "target_share")
         .join(got, "split_name", "left")
-        .select("split_name", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("components", F.lit(0)).alias("components"), F.coalesce(share, F.lit(0.0)).alias("share"), "target_share")
+        .join(cells.groupBy("split_name").agg(off), "split_name", "left")
+        .select(
+            "split_name",
+            F.coalesce("rows", zero).alias("rows"),
+            F.coalesce("components", zero).alias("components"),
+            F.coalesce(share, F.lit(0.0)).alias("share"),
+            "target_share",
+            F.coalesce("label_deviation", F.lit(0.0)).alias("label_deviation"),
+        )
     )
