@@ -9,9 +9,10 @@ moves or exchanges components to lower
 by annealing, several seeds in parallel, and the best is kept.
 
 Scale: components with at least ``big_share`` of all rows number at most
-``1 / big_share``, whatever the input, and only they are placed by one task;
-the rest is dealt by hash into blocks of a few thousand components, each
-annealed by its own task towards the targets that the big ones leave.
+``1 / big_share``, whatever the input; they are placed first, by one task a
+seed. The rest is dealt by hash into blocks of a few thousand components, each
+annealed by its own task towards the targets that the big ones leave. Only the
+splits' sums come to the driver.
 
 Defined results: rows with a null book follow their author's component, and
 without a named author stand alone; repeated rows count as often as they come;
@@ -143,23 +144,29 @@ def assign_components(components: DataFrame, targets: list[tuple[str, float]], b
     if not total or not names:
         return empty
     labels = [sums[c] / total for c in counts]
-    # At most 1 / big_share components hold that share of the rows: a proven bound.
+    # At most 1 / big_share components hold that share of the rows: a proven bound of what a task gets.
     least = max(1, total * big_share)
-    big = base.where(F.col("size") >= least).orderBy(F.desc("size"), "component").collect()
     want = [s * total for s in shares]
-    weights = [[r[c] for c in counts] for r in big]
-    trials = [anneal(weights, _hashed([r["h"] for r in big], shares), want, labels, seed, sweeps * 50 + sweeps * len(big)) for seed in range(seeds)]
-    placed = _place_big(weights, want, min(trials, key=lambda t: t[1])[0])
-    left = list(want)
-    for w, s in zip(weights, placed):
-        left[s] -= sum(w)
-    left = [max(0.0, x) for x in left]
+    kind = dict(base.dtypes)["component"]
+    trial = f"component {kind}, size bigint, seed int, split int, cost double"
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "component"], ascending=[False, True])
+        w, seed = pdf[counts].astype("int64").values.tolist(), int(pdf["seed"].iloc[0])
+        found, cost = anneal(w, _hashed(pdf["h"].tolist(), shares), want, labels, seed, sweeps * 50 + sweeps * len(w))
+        return pd.DataFrame({"component": pdf["component"].values, "size": pdf["size"].values, "seed": seed, "split": _place_big(w, want, found), "cost": cost})
+
+    big = base.where(F.col("size") >= least).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    placed = written(big.groupBy("seed").applyInPandas(place, trial), "split-big")
+    first = placed.groupBy("seed").agg(F.max("cost").alias("c")).orderBy("c", "seed").select("seed").limit(1)
+    placed = placed.join(F.broadcast(first), "seed").select("component", "size", "split")
+    filled = {r["split"]: (r["size"], r["n"]) for r in placed.groupBy("split").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}  # a row per split
+    left = [max(0.0, x - filled.get(k, (0, 0))[0]) for k, x in enumerate(want)]
     rest_total = max(1e-9, sum(left))
     rest = [x / rest_total for x in left]
     small = base.where(F.col("size") < least)
-    n_small = sums["n"] - len(big)
+    n_small = sums["n"] - sum(n for _, n in filled.values())
     blocks = max(1, -(-n_small // block))
-    kind = dict(base.dtypes)["component"]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("component")
@@ -171,15 +178,13 @@ def assign_components(components: DataFrame, targets: list[tuple[str, float]], b
             outs.append(pd.DataFrame({"component": pdf["component"].values, "seed": seed, "split": found, "cost": cost / len(w)}))
         return pd.concat(outs)
 
-    parts = [r for r in zip([r["component"] for r in big], placed)]
-    fixed = spark.createDataFrame([(c, names[s]) for c, s in parts], f"component {kind}, split_name string") if parts else empty
     tried = written(
         small.withColumn("block", F.pmod(F.shiftright("h", 7), F.lit(blocks))).groupBy("block").applyInPandas(search, f"component {kind}, seed int, split int, cost double"),
         "split-trials",
     )
     best = tried.groupBy("seed").agg(F.sum("cost").alias("c")).orderBy("c", "seed").select("seed").limit(1)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("split") + 1)
-    return fixed.union(tried.join(F.broadcast(best), "seed").select("component", label.alias("split_name")))
+    return placed.select("component", label.alias("split_name")).union(tried.join(F.broadcast(best), "seed").select("component", label.alias("split_name")))
 
 
 def _place_big(weights: list[list[int]], want: list[float], found: list[int]) -> list[int]:
