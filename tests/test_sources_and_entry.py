@@ -87,6 +87,22 @@ def test_step_stream_replays(spark, tmp_path):
     assert again == list(range(len(again))) and len(again) > len(first)
 
 
+def test_last_readings_of_equal_times(spark, tmp_path):
+    """Readings of one step at the same times, in every order, and values that end in half a unit, against the SQL."""
+    from textloom.plans import registry
+
+    at = "to_timestamp(1700000000)"
+    same = [(k, v) for k, order in enumerate(("3.5 2.5 NULL", "NULL 3.5 2.5", "2.5 NULL 3.5", "4.5 'nan'", "'nan' 4.5", "8.1131745", "0.5044715", "'inf'", "1e303", "NULL")) for v in order.split()]
+    rows = [f"('a', {k}, {v}::double, {t}, {r})" for t, r in ((at, at), (at, "NULL"), ("NULL", "NULL")) for k, v in same]
+    rows = [x.replace("'a'", f"'{'abc'[i // len(same)]}'") for i, x in enumerate(rows)] + [f"('d', 0, 2.5, {at}, {at} + INTERVAL 1 SECOND)", f"('d', 0, 3.5, {at}, {at})", "('d', 0, 9.5, NULL, NULL)"]
+    c = duckdb.connect()
+    c.sql(f"copy (select run_id, step::bigint as step, val_loss, l::timestamptz as logged_at, r::timestamptz as received_at from (values {', '.join(rows)}) as t(run_id, step, val_loss, l, r)) to '{tmp_path}/run_steps.parquet' (format parquet)")
+    c.sql(f"create view run_steps as select * from '{tmp_path}/run_steps.parquet'")
+    got = registry.queries()["stream_last_readings"](spark, str(tmp_path)).collect()
+    want = c.sql(registry.oracle_sql()["stream_last_readings"]).fetchall()
+    assert len(got) == 31 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_queries_agree_with_sql(spark, small):
     """A sample of the registered queries on the smallest tables, by row count and column names."""
     import os

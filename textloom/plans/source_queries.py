@@ -212,7 +212,10 @@ def stream_last_readings(s, d):
     last.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     rows = s.read.schema("run_id string, step bigint, val_loss double, logged_at timestamp, batch bigint").parquet(f"{at}/rows")
     newest = rows.groupBy("run_id", "step").agg(F.max_by(F.struct("val_loss", "logged_at"), "batch").alias("x"))
-    return newest.select("run_id", "step", F.round("x.val_loss", 6).alias("val_loss"), F.unix_micros("x.logged_at").alias("logged_us"))
+    # As the SQL rounds: the double is scaled first, so 8.1131745 (8113174.499999999) goes down, which round(v, 6) takes up by its digits.
+    v = F.col("x.val_loss")
+    rounded = F.when(F.abs(v) < 1e302, F.round(v * 1e6) / 1e6).otherwise(v)
+    return newest.select("run_id", "step", rounded.alias("val_loss"), F.unix_micros("x.logged_at").alias("logged_us"))
 
 
 @query()

@@ -15,8 +15,8 @@ def read_steps(spark: SparkSession, folder: str, schema: str, files_per_trigger:
 
 
 def last_per_step(stream: DataFrame) -> DataFrame:
-    """The last reading of each (run, step); update or complete mode. State is a row per step."""
-    return stream.groupBy("run_id", "step").agg(F.max_by("val_loss", F.struct("logged_at", "received_at")).alias("val_loss"), F.max("logged_at").alias("logged_at"))
+    """The last reading of each (run, step), of several at the same times the highest; update or complete mode. State is a row per step."""
+    return stream.groupBy("run_id", "step").agg(F.max_by("val_loss", F.struct("logged_at", "received_at", "val_loss")).alias("val_loss"), F.max("logged_at").alias("logged_at"))
 
 
 def event_windows(stream: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
